@@ -214,7 +214,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     homes = placed.filter("home").select("d", "cell", at("xs").alias("x"), spread("ys").alias("y"), "id", "v")
-    visits = placed.select("d", "cell", spread("xs").alias("x"), at("ys").alias("y"), "id", "v")
+    visits = placed.select("d", "cell", spread("xs").alias("x"), at("ys").alias("y"), "id", "v").toDF("d", "cell", "x", "y", "id", "v")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         kind = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("low", pa.int64())])

@@ -110,6 +110,20 @@ def _power(table: np.ndarray, base: int, at: np.ndarray) -> np.ndarray:
     return table[at % _CHUNK] * steps[high]
 
 
+def run_sums(values: np.ndarray) -> np.ndarray:
+    """Running sums from which run_hash() takes the hash of any run of values."""
+    at = np.arange(len(values), dtype=np.int64)
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * _power(_UP, _BASE, at), out=sums[1:])
+    return sums
+
+
+def run_hash(sums: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of runs [first, end), which depend on the values, their order and their number."""
+    own = (sums[end] - sums[first]) * _power(_DOWN, _UNBASE, first)
+    return mix(own ^ ((end - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
 #: Bytes that separate words: space and 0x09 to 0x0D.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -158,12 +172,7 @@ class Words:
     def hashes(self) -> np.ndarray:
         if not len(self.start):
             return np.zeros(0, np.uint64)
-        at = np.arange(len(self.bytes), dtype=np.int64)
-        sums = np.empty(len(at) + 1, dtype=np.uint64)
-        sums[0] = 0
-        np.cumsum(_BYTE[self.bytes] * _power(_UP, _BASE, at), out=sums[1:])
-        own = (sums[self.end] - sums[self.start]) * _power(_DOWN, _UNBASE, self.start)
-        return mix(own ^ ((self.end - self.start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        return run_hash(run_sums(_BYTE[self.bytes]), self.start, self.end)
 
     def shingles(self, k: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(text, hash) of every run of k words; a text with fewer words, but one at least, has its whole sequence as one."""

@@ -15,6 +15,8 @@ from .shared import require, settle
 
 #: Vectors and queries that one cell of the search grid holds.
 CELL_VECTORS, CELL_QUERIES = 8192, 2048
+#: Pairs whose vectors are side by side in memory at a time.
+PAIRS = 1 << 15
 
 
 def _valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -58,13 +60,14 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, base: np.ndarray, b
 
     def exact(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
         if exact_floats:
-            return np.einsum("ij,ij->i", q[rows], b[cols]).astype(np.int64)
+            parts = [np.einsum("ij,ij->i", q[rows[i : i + PAIRS]], b[cols[i : i + PAIRS]]).astype(np.int64) for i in range(0, len(rows), PAIRS)]
+            return np.concatenate(parts or [np.zeros(0, np.int64)])
         return np.array([sum(int(x) * int(y) for x, y in zip(q[r], b[c], strict=True)) for r, c in zip(rows, cols, strict=True)], dtype=object)
 
     stats = [[np.hstack(_segments(x, p)) for x in (q, b)] for p in levels]
     out_q, out_b, out_s = [], [], []
-    for start in range(0, len(q), 256):
-        own = np.arange(start, min(start + 256, len(q)))
+    for start in range(0, len(q), 128):
+        own = np.arange(start, min(start + 128, len(q)))
         bound = stats[0][0][own] @ stats[0][1].T
         bound[query_ids[own][:, None] == base_ids[None, :]] = -np.inf
         # a first k-th best score: exact products of the rows with the largest bounds of the finest level
@@ -81,7 +84,7 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, base: np.ndarray, b
         least = scores[:, -k] if scores.shape[1] >= k else np.full(len(own), -np.inf)
         rows, cols = np.nonzero((bound >= (least - slack)[:, None]) & ~np.isinf(bound))
         for level in range(1, len(levels)):
-            best = fine[rows, cols] if level == len(levels) - 1 else np.concatenate([np.einsum("ij,ij->i", stats[level][0][own[rows[i : i + 200_000]]], stats[level][1][cols[i : i + 200_000]]) for i in range(0, len(rows), 200_000)] or [np.zeros(0)])
+            best = fine[rows, cols] if level == len(levels) - 1 else np.concatenate([np.einsum("ij,ij->i", stats[level][0][own[rows[i : i + PAIRS]]], stats[level][1][cols[i : i + PAIRS]]) for i in range(0, len(rows), PAIRS)] or [np.zeros(0)])
             stay = best >= least[rows] - slack
             rows, cols = rows[stay], cols[stay]
         scores = exact(own[rows], cols)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, quality, substrings, vectors, warc
+from . import bpe, jaccard, langid, packing, quality, substrings, vectors, warc
 from .shared import shared_folder, table
 
 
@@ -28,6 +28,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.score(docs, quality.train(docs)).select("doc_id", "quality", "posterior", "keep")
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_topk": op2_topk,
     "op3_langid": op3_langid,
+    "op4_jaccard": op4_jaccard,
     "op5_quality": op5_quality,
     "op7_packing": op7_packing,
     "op8_embedding_dedup": op8_embedding_dedup,
@@ -77,6 +82,18 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op4_jaccard": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), '^ | $', '', 'g'), ' ') AS w FROM documents),
+        s AS (SELECT doc_id, CASE WHEN len(w) = 1 AND w[1] = '' THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                                  ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS sh FROM d),
+        t AS MATERIALIZED (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+        link AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.g = b.g AND a.doc_id <> b.doc_id
+                 GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+        reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+        low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+        SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, least(s.doc_id, coalesce(low.b, s.doc_id)) AS component_id
+        FROM s LEFT JOIN low ON low.a = s.doc_id
+    """,
     "op8_embedding_dedup": f"""
         WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
                              WHERE {_SOUND} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),

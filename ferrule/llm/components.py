@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import discard, settle
 
 MOST_ROUNDS = 60
 
@@ -31,5 +31,6 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(lowest, "u")
         small = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(lowest.select("u", F.col("m").alias("v")))
-        edges = settle(small.filter("u <> v").distinct())
+        before, edges = edges, settle(small.filter("u <> v").distinct())
+        discard(before)
     raise RuntimeError("components did not settle")

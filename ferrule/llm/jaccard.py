@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .components import connected_components
-from .shared import Words, mix, require, run_hash, run_sums, settle, slices
+from .shared import Words, discard, mix, require, run_hash, run_sums, settle, slices
 
-#: Bytes of shingle sets that a task compares at a time.
+#: Sets that a task remembers to have given out.
 _SEEN = 200_000
 
 
@@ -138,4 +138,6 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lowest = names.groupBy("component").agg(F.min("low").alias("component_id"))
     named = names.join(lowest, "component").select("node", "component_id")
     out = rows.select("id", "n", "node").join(named, "node", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    out = settle(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")), spark)
+    discard(rows, nodes, sets, posted, first_links, second_links)
+    return out

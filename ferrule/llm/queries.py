@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, langid, packing, quality, substrings, vectors, warc
+from . import bpe, html, jaccard, langid, packing, quality, substrings, vectors, warc
 from .shared import shared_folder, table
 
 
@@ -37,6 +37,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs)).select("doc_id", "quality", "posterior", "keep")
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substrings.dedup(docs).select("doc_id", "text", "n_removed")
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_langid": op3_langid,
     "op4_jaccard": op4_jaccard,
     "op5_quality": op5_quality,
+    "op6_html": op6_html,
     "op7_packing": op7_packing,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_substring_dedup": op9_substring_dedup,

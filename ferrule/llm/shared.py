@@ -9,7 +9,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Bytes of text that an Arrow function works on at a time.
 SLICE_BYTES = 2 << 20
@@ -42,7 +41,17 @@ def settle(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     spark = spark or df.sparkSession
     path = shared_folder(spark)
     df.write.parquet(path, compression="zstd")
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._settled = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what settle() wrote; nothing that is still to be computed may read these tables."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t._settled)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -203,7 +212,3 @@ class Words:
 
 def binary_array(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, type=pa.binary())
-
-
-def salted(df: DataFrame, column: str, n: int) -> DataFrame:
-    return df.withColumn("_salt", F.pmod(F.xxhash64(F.col(column)), F.lit(n)))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import sketch
-from .shared import Words, mix, require, run_sums, run_hash, settle, slices
+from .shared import Words, discard, mix, require, run_hash, run_sums, settle, slices
 
 LEAST_WORDS = 50
 #: Bytes that end a sentence at a word's end, also before a closing quote or bracket.
@@ -98,6 +98,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("_id", "_th", "a")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     later = found.join(first, ["h1", "h2"]).filter(~F.struct("_id", "_th", "a").eqNullSafe(F.col("first")))
     gone = later.groupBy("_id", "_th").agg(F.collect_set(F.struct("a", "b")).alias("_gone")).select(F.col("_id").alias("_gid"), F.col("_th").alias("_gth"), "_gone")
+    gone = settle(gone, spark)
+    discard(found)
     every = docs.withColumn("_rid", F.col(id_col).cast("bigint")).withColumn("_rth", F.xxhash64(F.col(text_col)))
     joined = every.join(gone, F.col("_rid").eqNullSafe(F.col("_gid")) & (F.col("_rth") == F.col("_gth")), "left").drop("_rid", "_rth", "_gid", "_gth")
 

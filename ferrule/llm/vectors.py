@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import require, settle
+from .shared import discard, require, settle
 
 #: Vectors and queries that one cell of the search grid holds.
 CELL_VECTORS, CELL_QUERIES = 8192, 2048
@@ -209,7 +209,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
                     yield pa.RecordBatch.from_pydict({"d": pa.array(np.full(len(rows), d), pa.int32()), "cell": pa.array(cells, pa.int32()), "home": pa.array(home[rows] == cells), "id": part.column("id").take(pa.array(rows + i)), "v": pa.FixedSizeListArray.from_arrays(pa.array(x[rows + i].ravel()), int(d)).cast(pa.list_(pa.float64()))})
 
     placed = base.mapInArrow(assign, "d int, cell int, home boolean, id bigint, v array<double>")
-    placed = settle(placed, spark)
+    placed = placed_table = settle(placed, spark)
     sizes = placed.groupBy("d", "cell").agg(F.sum(F.col("home").cast("bigint")).alias("homes"), F.count("*").alias("visits"))
     # at most 64 * MOST_CELLS rows
     sizes = sizes.select("d", "cell", F.ceil(F.col("homes") / HOME_BLOCK).cast("int").alias("xs"), F.ceil(F.col("visits") / VISIT_BLOCK).cast("int").alias("ys")).filter("xs > 0")
@@ -235,6 +235,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
         return pa.concat_tables(parts)
 
     found = settle(homes.groupBy("d", "cell", "x", "y").cogroup(visits.groupBy("d", "cell", "x", "y")).applyInArrow(compare, "id bigint, n bigint, low bigint"), spark)
+    discard(base, placed_table)
     links = found.groupBy("id").agg(F.sum("n").alias("n_links"))
     groups = connected_components(found.select(F.col("id").alias("a"), F.col("low").alias("b")))
     out = every.join(links, "id", "left").join(groups, "id", "left")

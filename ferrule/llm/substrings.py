@@ -96,10 +96,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
 
     found = settle(keyed.mapInArrow(emit, "h1 bigint, h2 bigint, _id bigint, _th bigint, a int, b int"), spark)
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("_id", "_th", "a")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # written first: a join of two tables shuffles both sides, and adaptive execution can split a hot run's rows
+    first = settle(first, spark)
     later = found.join(first, ["h1", "h2"]).filter(~F.struct("_id", "_th", "a").eqNullSafe(F.col("first")))
     gone = later.groupBy("_id", "_th").agg(F.collect_set(F.struct("a", "b")).alias("_gone")).select(F.col("_id").alias("_gid"), F.col("_th").alias("_gth"), "_gone")
     gone = settle(gone, spark)
-    discard(found)
+    discard(found, first)
     every = docs.withColumn("_rid", F.col(id_col).cast("bigint")).withColumn("_rth", F.xxhash64(F.col(text_col)))
     joined = every.join(gone, F.col("_rid").eqNullSafe(F.col("_gid")) & (F.col("_rth") == F.col("_gth")), "left").drop("_rid", "_rth", "_gid", "_gth")
 

@@ -102,14 +102,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     gone = later.groupBy("_id", "_th").agg(F.collect_set(F.struct("a", "b")).alias("_gone")).select(F.col("_id").alias("_gid"), F.col("_th").alias("_gth"), "_gone")
     gone = settle(gone, spark)
     discard(found, first)
-    every = docs.withColumn("_rid", F.col(id_col).cast("bigint")).withColumn("_rth", F.xxhash64(F.col(text_col)))
+    # positional names, so that no column of docs can clash with those of the join
+    names, place = list(docs.columns), f"c{docs.columns.index(text_col)}"
+    every = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    every = every.withColumn("_rid", F.col(f"c{names.index(id_col)}").cast("bigint")).withColumn("_rth", F.xxhash64(place)).withColumn(place, F.col(place).cast("string"))
     joined = every.join(gone, F.col("_rid").eqNullSafe(F.col("_gid")) & (F.col("_rth") == F.col("_gth")), "left").drop("_rid", "_rth", "_gid", "_gth")
 
-    names = list(docs.columns)
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col):
-            texts, gone_runs = batch.column(text_col), batch.column("_gone")
+        for batch in slices(batches, place):
+            texts, gone_runs = batch.column(place), batch.column("_gone")
             removed = np.zeros(batch.num_rows, dtype=np.int64)
             hit = np.flatnonzero(gone_runs.is_valid().to_numpy(zero_copy_only=False))
             if len(hit):
@@ -130,9 +131,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
                     kept = b"".join(raw[i][start[x] : start[y]] for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
                     new[row] = (lead + kept if not out[-1] else (lead + kept).rstrip(b" \t\r\n\v\f")).decode()
                 texts = pa.array(new, pa.string())
-            columns = [batch.column(c) if c != text_col else texts for c in names]
+            columns = [batch.column(f"c{i}") if c != text_col else texts for i, c in enumerate(names)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(removed)], names=[*names, "n_removed"])
 
     kind = StructType([StructField(f.name, StringType() if f.name == text_col else f.dataType, True) for f in docs.schema.fields] + [StructField("n_removed", LongType())])
-    joined = joined.select(*[F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in docs.columns], "_gone")
     return joined.mapInArrow(cut, kind)

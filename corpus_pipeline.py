@@ -16,7 +16,10 @@ SHINGLE, PERCENT = 5, 80
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the weak-label quality model of these documents scores 0.5 or more; null and wordless texts go."""
-    return quality.score(docs, quality.train(docs)).filter("keep").select(*docs.columns)
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    text = f"c{names.index('text')}"
+    return quality.score(plain, quality.train(plain, text), text).filter("keep").select(*plain.columns).toDF(*names)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +28,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     if learned.isEmpty():
         # nothing to learn from: no language is known, so nothing can be kept for having one, and nothing is rejected
         return docs
-    found = langid.predict(docs.withColumnsRenamed({c: f"__{i}" for i, c in enumerate(docs.columns)}), langid.train(learned), text_col=f"__{docs.columns.index('text')}")
-    kept = found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
-    return kept.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)])
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    found = langid.predict(plain, langid.train(learned), text_col=f"c{names.index('text')}")
+    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*plain.columns).toDF(*names)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +47,12 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated runs of sentences out of all but their first place; texts that had nothing else go."""
-    done = substrings.dedup(docs)
-    kept = done.filter("n_removed = 0 OR trim(BOTH FROM text) <> ''")
-    if "n_chars" in docs.columns:
+    names = docs.columns
+    plain = docs.toDF(*[c if c in ("doc_id", "text", "n_chars") else f"c{i}" for i, c in enumerate(names)])
+    kept = substrings.dedup(plain).filter("n_removed = 0 OR trim(BOTH FROM text) <> ''")
+    if "n_chars" in names:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    return kept.select(*plain.columns).toDF(*names)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

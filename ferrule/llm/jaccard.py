@@ -2,10 +2,12 @@
 
 Texts with equal shingle sets are one node.  Shingles are ordered, the rarest first, by a bounded summary of the whole corpus and
 then by hash; two sets that reach the threshold share a shingle among the first n - ceil(t * n) + 1 of each.  Nodes with the same
-prefix and size form a group, and only groups' prefixes are posted.  Pairs then come in two rounds.  First every group meets the
-one group that it shares most with, out of the smallest of each shingle's list, and every node the first of its group: a linear
-number of pairs, of which the verified ones are united to components.  Then, where nodes of one shingle's list still lie in
-different components, all pairs of them are verified.  A pair within one component needs no check, as it can't change any.
+prefix and size form a group, and only groups' prefixes are posted.  Pairs then come in rounds.  First every group meets the one
+group that it shares most with, out of the heads of the lists of its shingles, and every node the first of its group: a linear
+number of pairs, of which the verified ones are united to components.  A few more such rounds follow for the lists whose nodes
+still lie in different components, each time with other heads.  Then all pairs are verified that such lists still hold.  A pair
+within one component needs no check, as it can't change any; and a pair counts in a list only if so much of both sets is left
+from its shingle on that the threshold can be reached, which holds for the first shingle that the two have in common.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from .shared import Words, discard, mix, require, run_hash, run_sums, settle, sl
 
 #: Sets that a task remembers to have given out.
 _SEEN = 200_000
+#: Rounds in which nodes meet heads of lists, before all pairs that are left.
+ROUNDS = 3
 
 
 def distinct_shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,6 +91,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             # a text without so many shingles that occur elsewhere has no link
             may = (n > 0) & (count[first[1:]] - count[first[:-1]] >= least_overlap(n, percent))
             prefix: list = [None] * len(n)
+            place: list = [None] * len(n)
             shingles: list = [None] * len(n)
             group = np.zeros(len(n), dtype=np.int64)
             for i in np.flatnonzero(may).tolist():
@@ -102,36 +107,61 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 order = np.argsort(rank, kind="stable")[: int(n[i] - least_overlap(n[i], percent) + 1)]
                 start = own[order]
                 group[i] = int(mix(run_hash(run_sums(start), np.array([0]), np.array([len(start)])) ^ np.uint64(n[i])).view(np.int64)[0])
-                prefix[i] = start[flag[order]].view(np.int64)
+                place[i] = np.flatnonzero(flag[order]).astype(np.int32)
+                prefix[i] = start[place[i]].view(np.int64)
                 shingles[i] = own.tobytes()
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "n": n, "node": pa.array(node, mask=n == 0), "grp": pa.array(group, mask=~may), "prefix": pa.array(prefix, pa.list_(pa.int64())), "shingles": pa.array(shingles, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "n": n, "node": pa.array(node, mask=n == 0), "grp": pa.array(group, mask=~may), "prefix": pa.array(prefix, pa.list_(pa.int64())), "place": pa.array(place, pa.list_(pa.int32())), "shingles": pa.array(shingles, pa.binary())})
 
-    rows = settle(plain.mapInArrow(profile, "id bigint, n bigint, node bigint, grp bigint, prefix array<bigint>, shingles binary"), spark)
+    rows = settle(plain.mapInArrow(profile, "id bigint, n bigint, node bigint, grp bigint, prefix array<bigint>, place array<int>, shingles binary"), spark)
     found = rows.filter("grp IS NOT NULL")
     sets = settle(found.select("node", "shingles").dropDuplicates(["node"]), spark)
-    nodes = settle(found.select("node", "n", "grp", "prefix").dropDuplicates(["node"]), spark)
-
-    groups = nodes.groupBy("grp").agg(F.min("node").alias("head"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    posted = groups.select("grp", "head", "n", F.explode("prefix").alias("token"))
-    least = posted.groupBy("token").agg(F.min(F.struct("grp", "head", "n")).alias("c"), F.count("*").alias("size")).filter("size > 1").select("token", F.col("c.grp").alias("c_grp"), F.col("c.head").alias("c_head"), F.col("c.n").alias("c_n"))
-    fits = lambda x, y: f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
-    met = posted.join(least, "token").filter(f"grp <> c_grp AND {fits('n', 'c_n')}")
-    best = met.groupBy("head", "c_head").agg(F.count("*").alias("shared")).groupBy("head").agg(F.max(F.struct("shared", "c_head")).alias("m"))
-    across = best.select(F.col("m.c_head").alias("a"), F.col("head").alias("b"))
-    within = nodes.join(groups.select("grp", "head"), "grp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    first_links = settle(_links(across.unionAll(within), sets, percent), spark)
-    united = connected_components(first_links)
-
-    # the second round: lists whose nodes are not yet united
-    placed = nodes.join(united.select(F.col("id").alias("node"), "component"), "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"), "prefix")
-    posted = settle(placed.select("node", "n", "component", F.explode("prefix").alias("token")), spark)
-    open_lists = posted.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
-    still = posted.join(open_lists, "token")
-    left = still.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    right = still.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    pairs = left.join(right, "token").filter(f"a < b AND c_a <> c_b AND {fits('n_a', 'n_b')}").select("a", "b").distinct()
-    second_links = settle(_links(pairs, sets, percent), spark)
-    final = connected_components(first_links.unionAll(second_links))
+    nodes = settle(found.select("node", "n", "grp", "prefix", "place").dropDuplicates(["node"]), spark)
+
+    def can_link(x: str, y: str) -> str:
+        """Whether sets x and y can reach the threshold from this shingle on: by their sizes n_, and by what their orders leave from its places at_ on."""
+        sizes = f"100 * least(n_{x}, n_{y}) >= {percent} * greatest(n_{x}, n_{y})"
+        left = f"least(n_{x} - at_{x}, n_{y} - at_{y})"
+        return f"{sizes} AND {100 + percent} * {left} >= {percent} * (n_{x} + n_{y})"
+
+    def listed(t: DataFrame, *keep: str) -> DataFrame:
+        """A row per shingle of the prefixes; sizes within one class are apart by less than the threshold allows."""
+        size_class = F.floor(F.log("n") / np.log(100 / percent)).cast("int") if percent < 100 else F.col("n").cast("int")
+        return t.select(*keep, "n", size_class.alias("size"), F.explode(F.arrays_zip("prefix", "place")).alias("p")).select(*keep, "n", "size", F.col("p.prefix").alias("token"), F.col("p.place").alias("at"))
+
+    def stars(t: DataFrame, round_: int) -> DataFrame:
+        """(a, b): for each node of t (token, size, node, n, at, component) the head of a list that it shares most with, of another component."""
+        head = F.struct(F.xxhash64("node", F.lit(round_)).alias("h"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("component").alias("c_a"))
+        heads = t.groupBy("token", "size").agg(F.min(head).alias("head"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token", "size", "head.*")
+        met = t.select("token", "size", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("component").alias("c_b")).join(heads, ["token", "size"]).filter(f"c_a <> c_b AND {can_link('a', 'b')}")
+        return met.groupBy("a", "b").agg(F.count("*").alias("shared")).groupBy("b").agg(F.max(F.struct("shared", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+
+    groups = nodes.groupBy("grp").agg(F.min("node").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("place").alias("place"))
+    across = stars(listed(groups.withColumn("component", F.col("node")), "node", "component"), 0)
+    within = nodes.join(groups.select("grp", F.col("node").alias("head")), "grp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    links = [settle(_links(across.unionAll(within), sets, percent), spark)]
+
+    def united() -> DataFrame:
+        every = links[0]
+        for x in links[1:]:
+            every = every.unionAll(x)
+        return connected_components(every)
+
+    def still_open(t: DataFrame, parts: DataFrame) -> DataFrame:
+        """The rows of t, with their components as they are now, in lists that several components share."""
+        now = t.drop("component").join(parts.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        lists = now.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token")
+        return settle(now.join(lists, "token"), spark)
+
+    table = still_open(listed(nodes.withColumn("component", F.col("node")), "node", "component"), united())
+    for round_ in range(1, ROUNDS + 1):
+        links.append(settle(_links(stars(table, round_), sets, percent), spark))
+        before, table = table, still_open(table, united())
+        discard(before)
+
+    side = lambda x: table.select("token", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("at").alias(f"at_{x}"), F.col("component").alias(f"c_{x}"))
+    pairs = side("a").join(side("b"), "token").filter(f"a < b AND c_a <> c_b AND {can_link('a', 'b')}").select("a", "b").distinct()
+    links.append(settle(_links(pairs, sets, percent), spark))
+    final = united()
 
     names = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("low"))
     names = names.join(final.select(F.col("id").alias("node"), "component"), "node", "left").select("node", "low", F.coalesce("component", "node").alias("component"))
@@ -139,5 +169,5 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = names.join(lowest, "component").select("node", "component_id")
     out = rows.select("id", "n", "node").join(named, "node", "left")
     out = settle(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")), spark)
-    discard(rows, nodes, sets, posted, first_links, second_links)
+    discard(rows, nodes, sets, table, *links)
     return out

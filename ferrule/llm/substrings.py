@@ -19,7 +19,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from . import sketch
 from .shared import Words, discard, mix, require, run_hash, run_sums, settle, slices
 
-LEAST_WORDS = 50
+LEAST_WORDS = 40
 #: Bytes that end a sentence at a word's end, also before a closing quote or bracket.
 _ENDS, _CLOSES = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
 _ENDS[list(b".!?")] = True

@@ -2,7 +2,7 @@
 
 import corpus_pipeline as pipeline
 import numpy as np
-from ferrule.llm import langid, quality, queries
+from ferrule.llm import langid, quality, queries, substrings
 from ferrule.llm.shared import settle
 from test_bpe_packing import check_packed
 from test_text_operators import brute_components, brute_dedup
@@ -34,7 +34,7 @@ def test_run_against_plain_stages(spark, data):
     stage = settle(pipeline.jaccard_stage(spark, stage, data))
     assert stage.columns == names and rows(stage) == sorted(three, key=repr)
 
-    new = {i: (t, n) for i, t, n in brute_dedup(spark, [(r[ident], r[text]) for r in three], 50)}
+    new = {i: (t, n) for i, t, n in brute_dedup(spark, [(r[ident], r[text]) for r in three], substrings.LEAST_WORDS)}
     four = []
     for r in three:
         t, n = new[r[ident]]

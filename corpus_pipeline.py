@@ -35,7 +35,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every component of near duplicates stays, that of the smallest id; of repeated ids the smallest row."""
+    """One document of every component of near duplicates stays, that of the smallest id; of repeated ids the smallest row.  Rows without an id go."""
     groups = jaccard.link_components(docs, k=SHINGLE, percent=PERCENT)
     heads = groups.filter("doc_id = component_id").select("doc_id")
     kept = docs.join(heads.distinct(), "doc_id", "left_semi")

@@ -7,7 +7,7 @@ differs from a null one (set to null).  seq orders all changes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,9 +65,15 @@ def require_before(changes: DataFrame) -> DataFrame:
 
 
 def barriers(changes: DataFrame) -> DataFrame:
-    """changes with segment: how many truncations and schema changes of its table came before."""
-    order = Window.partitionBy("table").orderBy("seq", *(["sub"] if "sub" in changes.columns else [])).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return changes.withColumn("segment", F.sum(F.col("op").isin("T", "S").cast("long")).over(order))
+    """changes with segment: how many truncations and schema changes of its table came up to it.
+
+    These are few, so each table's are listed and counted per row; a window over a table would put all its rows into one task.
+    """
+    sub = F.col("sub") if "sub" in changes.columns else F.lit(0)
+    at = F.struct(F.col("seq").alias("seq"), sub.alias("sub"))
+    marks = changes.filter(F.col("op").isin("T", "S")).groupBy("table").agg(F.collect_list(at).alias("_marks"))
+    passed = F.filter("_marks", lambda m: m <= at)
+    return changes.join(marks, "table", "left").withColumn("segment", F.coalesce(F.size(passed), F.lit(0)).cast("bigint")).drop("_marks")
 
 
 def _folded(changes: DataFrame, key: list[str], by: list) -> DataFrame:
@@ -80,15 +86,14 @@ def _folded(changes: DataFrame, key: list[str], by: list) -> DataFrame:
     order = F.struct("seq", "sub")
     image = F.coalesce("after", "before")
     keyed = changes.select("*", *[image[k].alias(f"_k_{k}") for k in key], order.alias("_at"))
-    ends = keyed.groupBy(*by, *[f"_k_{k}" for k in key]).agg(
-        F.max("_at").alias("last"), F.min("_at").alias("first"), F.max_by("op", "_at").alias("last_op"), F.min_by("op", "_at").alias("first_op"), F.max(F.when(F.col("op") == "D", F.col("_at"))).alias("deleted"), F.max(F.when(F.col("op") == "I", F.col("_at"))).alias("inserted"),
-        F.min_by("before", "_at").alias("first_before"), F.max_by("commit_ts", "_at").alias("commit_ts"),
-    )
     has = lambda c: (F.col("op") != "D") & (F.col("present").isNull() | F.array_contains("present", c))
     # a deletion writes every column as gone, so that the newest entry of each column tells value or absence
     values = [F.max_by(F.struct(F.when(F.col("op") != "D", F.col(f"after.{c}")).alias("v"), (F.col("op") != "D").alias("there")), F.when(has(c) | (F.col("op") == "D"), F.col("_at"))).alias(f"_v_{c}") for c in names]
-    found = keyed.groupBy(*by, *[f"_k_{k}" for k in key]).agg(*values)
-    return ends.join(found, [*by, *[f"_k_{k}" for k in key]])
+    return keyed.groupBy(*by, *[f"_k_{k}" for k in key]).agg(
+        F.max("_at").alias("last"), F.min_by("op", "_at").alias("first_op"), F.max_by("op", "_at").alias("last_op"),
+        F.max(F.when(F.col("op") == "D", F.col("_at"))).alias("deleted"), F.max(F.when(F.col("op") == "I", F.col("_at"))).alias("inserted"),
+        F.min_by("before", "_at").alias("first_before"), F.max_by("commit_ts", "_at").alias("commit_ts"), *values,
+    )
 
 
 def compact(changes: DataFrame, key: list[str]) -> DataFrame:

@@ -25,8 +25,9 @@ from .shared import Words, discard, mix, require, run_hash, run_sums, settle, sl
 
 #: Sets that a task remembers to have given out.
 _SEEN = 200_000
-#: Rounds in which nodes meet heads of lists, before all pairs that are left.
-ROUNDS = 3
+#: Most rounds in which nodes meet heads of lists, before all pairs that are left are verified; and how many pairs in different
+#: components a row of the lists may be in for no more rounds to be needed.
+ROUNDS, ENOUGH = 6, 2
 
 
 def distinct_shingles(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,15 +129,20 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         size_class = F.floor(F.log("n") / np.log(100 / percent)).cast("int") if percent < 100 else F.col("n").cast("int")
         return t.select(*keep, "n", size_class.alias("size"), F.explode(F.arrays_zip("prefix", "place")).alias("p")).select(*keep, "n", "size", F.col("p.prefix").alias("token"), F.col("p.place").alias("at"))
 
-    def stars(t: DataFrame, round_: int) -> DataFrame:
-        """(a, b): for each node of t (token, size, node, n, at, component) the head of a list that it shares most with, of another component."""
-        head = F.struct(F.xxhash64("node", F.lit(round_)).alias("h"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("component").alias("c_a"))
-        heads = t.groupBy("token", "size").agg(F.min(head).alias("head"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token", "size", "head.*")
+    def counted(t: DataFrame, round_: int) -> DataFrame:
+        """(token, size, component, m, head): how many nodes of a component a list has, and one of them, another each round."""
+        head = F.struct(F.xxhash64("node", F.lit(round_)).alias("h"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
+        return t.groupBy("token", "size", "component").agg(F.count("*").alias("m"), F.min(head).alias("head"))
+
+    def stars(t: DataFrame, parts: DataFrame) -> DataFrame:
+        """(a, b): for each node of t (token, size, node, n, at, component) the head that it shares most lists with; a list's head is of its largest component."""
+        heads = parts.groupBy("token", "size").agg(F.max(F.struct("m", "head", "component")).alias("top"), F.count("*").alias("parts")).filter("parts > 1").select("token", "size", "top.head.*", F.col("top.component").alias("c_a"))
         met = t.select("token", "size", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("at").alias("at_b"), F.col("component").alias("c_b")).join(heads, ["token", "size"]).filter(f"c_a <> c_b AND {can_link('a', 'b')}")
         return met.groupBy("a", "b").agg(F.count("*").alias("shared")).groupBy("b").agg(F.max(F.struct("shared", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
 
     groups = nodes.groupBy("grp").agg(F.min("node").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("place").alias("place"))
-    across = stars(listed(groups.withColumn("component", F.col("node")), "node", "component"), 0)
+    posted = listed(groups.withColumn("component", F.col("node")), "node", "component")
+    across = stars(posted, counted(posted, 0))
     within = nodes.join(groups.select("grp", F.col("node").alias("head")), "grp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     links = [settle(_links(across.unionAll(within), sets, percent), spark)]
 
@@ -154,9 +160,15 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     table = still_open(listed(nodes.withColumn("component", F.col("node")), "node", "component"), united())
     for round_ in range(1, ROUNDS + 1):
-        links.append(settle(_links(stars(table, round_), sets, percent), spark))
+        parts = settle(counted(table, round_), spark)
+        within_lists = parts.groupBy("token", "size").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("pairs"), F.sum("m").alias("rows"))
+        load = within_lists.agg(F.sum("pairs").alias("pairs"), F.sum("rows").alias("rows")).first()
+        if (load["pairs"] or 0) <= ENOUGH * (load["rows"] or 0):
+            discard(parts)
+            break
+        links.append(settle(_links(stars(table, parts), sets, percent), spark))
         before, table = table, still_open(table, united())
-        discard(before)
+        discard(before, parts)
 
     side = lambda x: table.select("token", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("at").alias(f"at_{x}"), F.col("component").alias(f"c_{x}"))
     pairs = side("a").join(side("b"), "token").filter(f"a < b AND c_a <> c_b AND {can_link('a', 'b')}").select("a", "b").distinct()

@@ -130,8 +130,12 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return t.select(*keep, "n", size_class.alias("size"), F.explode(F.arrays_zip("prefix", "place")).alias("p")).select(*keep, "n", "size", F.col("p.prefix").alias("token"), F.col("p.place").alias("at"))
 
     def counted(t: DataFrame, round_: int) -> DataFrame:
-        """(token, size, component, m, head): how many nodes of a component a list has, and one of them, another each round."""
-        head = F.struct(F.xxhash64("node", F.lit(round_)).alias("h"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
+        """(token, size, component, m, head): how many nodes of a component a list has, and one of them, another each round.
+
+        The fewer rare shingles a set has before this one, the more it is like the others of its list: such a head links with
+        most of them.  The first round takes the best, later ones any of the good.
+        """
+        head = F.struct(F.floor(F.col("at") / max(1, 4 * round_)).alias("rare"), F.xxhash64("node", F.lit(round_)).alias("h"), F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
         return t.groupBy("token", "size", "component").agg(F.count("*").alias("m"), F.min(head).alias("head"))
 
     def stars(t: DataFrame, parts: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return substrings.dedup(docs).select("doc_id", "text", "n_removed")
+    return substrings.dedup(docs, passage=substrings.PASSAGE).select("doc_id", "text", "n_removed")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

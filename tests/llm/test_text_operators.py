@@ -170,6 +170,42 @@ def test_planted_passage_goes_everywhere_but_first(spark):
     assert got[4].text == "Own text number 4 stands here.\nAnd own end 4." and got[9].n_removed == 51
 
 
+def plain_passages(docs, length):
+    """Ids and the numbers of the words of every document that stand in a window of length words that an earlier place has too."""
+    place = {}
+    for i, t in sorted(docs):
+        for a in range(len(words(t)) - length + 1):
+            place.setdefault(tuple(words(t)[a : a + length]), (i, a))
+    return {i: {x for a in range(len(words(t)) - length + 1) if place[tuple(words(t)[a : a + length])] != (i, a) for x in range(a, a + length)} for i, t in docs}
+
+
+def test_passages_glued_mid_sentence(spark):
+    rng = random.Random(9)
+    docs = []
+    for i in range(40):
+        own = [f"o{i}x{k}" + "." * (rng.random() < 0.07) for k in range(rng.randrange(90))]
+        docs.append([i, own])
+    for p, size in enumerate([50, 51, 54, 70, 130, 49]):
+        ends = {rng.randrange(size) for _ in range(rng.randrange(4))}
+        passage = [f"p{p}x{k}" + "." * (k in ends) for k in range(size)]
+        for _, own in rng.sample(docs, 5):
+            # inside no earlier passage, so that each stays in one piece
+            at = rng.choice([k for k in range(len(own) + 1) if k in (0, len(own)) or own[k - 1][0] == "o" or own[k][0] == "o"])
+            own[at:at] = passage
+    docs = [(i, " ".join(own)) for i, own in docs]
+    expected = plain_passages(docs, 50)
+    assert sum(map(bool, expected.values())) > 10
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    got = {r.doc_id: r for r in substrings.dedup(frame, least_words=1000, passage=50).collect()}
+    for i, t in docs:
+        assert words(got[i].text) == [x for k, x in enumerate(words(t)) if k not in expected[i]] and got[i].n_removed == len(expected[i])
+    # with the runs of sentences too, nothing of a repeated passage is left but at its first place
+    got = {r.doc_id: r for r in substrings.dedup(frame, passage=50).collect()}
+    assert all(got[i].n_removed >= len(expected[i]) for i, _ in docs)
+    left = collections.Counter(x.rstrip(b".") for r in got.values() for x in words(r.text))
+    assert all(left[f"p{p}x{k}".encode()] == 1 for p, size in enumerate([50, 51, 54, 70, 130]) for k in range(size))
+
+
 # ---------------------------------------------------------------------------
 
 

@@ -398,6 +398,9 @@ _redact("r4_hmac_sha256", "hash:hmac-sha256:k", _hmac_sql("v"))
 _redact("r5_truncate", "truncate:7", "left(v, 7)")
 _redact("r6_mask_inner", "mask:inner:3,2,*", "CASE WHEN length(v) > 5 THEN left(v, 3) || repeat('*', length(v) - 5) || right(v, 2) ELSE v END", "documents", "doc_id", text="left(text, cast(doc_id % 12 as int))")
 _redact("r7_mask_outer", "mask:outer:3,2", "CASE WHEN length(v) > 5 THEN 'XXX' || substr(v, 4, length(v) - 5) || 'XX' ELSE repeat('X', length(v)) END", "documents", "doc_id", text="left(text, cast(doc_id % 12 as int))")
+# the two above read short prefixes, where the edges of the masks are; these the whole texts
+_redact("r6_mask_inner_text", "mask:inner:3,2,*", "CASE WHEN length(v) > 5 THEN left(v, 3) || repeat('*', length(v) - 5) || right(v, 2) ELSE v END", "documents", "doc_id", "text")
+_redact("r7_mask_outer_text", "mask:outer:3,2", "CASE WHEN length(v) > 5 THEN 'XXX' || substr(v, 4, length(v) - 5) || 'XX' ELSE repeat('X', length(v)) END", "documents", "doc_id", "text")
 _redact("r8_mask_ssn", "mask:ssn", "'XXX-XX-' || right(v, 4)", text="concat('123-45-', lpad(cast(c_custkey % 10000 as varchar(9)), 4, '0'))")
 _redact("r10_mask_pan", "mask:pan-relaxed", "substr(v, 1, 4) || '-' || substr(v, 6, 2) || 'XX-XXXX-' || right(v, 4)", text="concat('4111-2222-3333-', lpad(cast(c_custkey % 10000 as varchar(9)), 4, '0'))")
 _redact("r9_mask_pan_luhn", "mask:pan", "'411111XXXXXX1111'", text="concat('411111111111', '1111')")

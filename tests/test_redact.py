@@ -27,6 +27,20 @@ def test_masks(spark):
         assert got == {i: e for i, _, e in cases}, spec
 
 
+@pytest.mark.parametrize("name", ["r6_mask_inner_text", "r7_mask_outer_text"])
+def test_whole_texts_are_masked(spark, data, tmp_path, name):
+    from ferrule.plans import catalogue
+
+    texts = ["ä😀" * n + "z" * m for n in range(5) for m in range(2)] + ["x" * 20_000, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.id: x.v for x in catalogue.QUERIES[name](spark, f"{tmp_path}").collect()}
+    inner = [t if t is None or len(t) <= 5 else t[:3] + "*" * (len(t) - 5) + t[-2:] for t in texts]
+    outer = [t if t is None else "X" * len(t) if len(t) <= 5 else "XXX" + t[3:-2] + "XX" for t in texts]
+    assert got == dict(enumerate(inner if "inner" in name else outer))
+    chars = spark.read.parquet(f"{data}/documents.parquet").agg(F.sum(F.length("text"))).first()[0]
+    assert catalogue.QUERIES[name](spark, data).agg(F.sum(F.length("v"))).first()[0] == chars
+
+
 @pytest.mark.parametrize("spec, value", BAD)
 def test_malformed_values_stop_the_job_without_showing_them(spark, spec, value):
     df = spark.createDataFrame([(1, value)], "id int, c string")

@@ -301,6 +301,14 @@ def w3(spark, d):
     return changes.version_at(e, history).select("event_id", "table", "version")
 
 
+@query("w3_schema_at_all", "WITH b AS (SELECT min(event_id) AS lo, max(event_id) - min(event_id) + 1 AS w FROM events) SELECT event_id, event_type AS \"table\", nullif(len(list_filter(range(0, 10), lambda k: lo + w * (2 * k + 1) // 20 <= event_id)) - 1, -1)::INTEGER AS version FROM events, b")
+def w3_all(spark, d):
+    e = load(spark, d, "events").select("event_id", F.col("event_type").alias("table"), F.col("event_id").alias("seq"))
+    span = e.agg(F.min("seq").alias("lo"), (F.max("seq") - F.min("seq") + 1).alias("w"))
+    history = e.select("table").distinct().crossJoin(span).select("table", "lo", "w", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("version"))
+    return changes.version_at(e, history.select("table", "version", F.expr("lo + w * (2 * version + 1) div 20").alias("anchor"))).select("event_id", "table", "version")
+
+
 @query("l1_sample", "SELECT p_partkey::VARCHAR AS pk, md5(concat_ws('|', p_partkey, p_name)) AS row_hash FROM part ORDER BY md5(p_partkey::VARCHAR || '7'), 1 LIMIT 20")
 def l1(spark, d):
     return verify.sample_hashes(load(spark, d, "part").select("p_partkey", "p_name"), ["p_partkey"], 20, 7)

@@ -125,13 +125,14 @@ class Model:
         total = np.add.reduceat(scores.astype(np.float64), first[full], axis=0)
         amount = np.add.reduceat(letters, first[full])
         best = total.argmax(axis=1)
-        # no path with switches can win unless some stretch favours another language by more than one switch costs
+        # a path with m switches has at most m + 1 stretches in other languages, which together must gain more than m switches cost:
+        # none can win unless some stretch gains more than m / (m + 1) of a switch, which is half of one at least
         gain = scores.astype(np.float64) - np.take_along_axis(scores, np.repeat(best, count[full])[:, None], axis=1)
         running = np.cumsum(gain, axis=0)
         low = np.empty_like(running)
         for k in range(len(self.languages)):
             low[:, k] = self._lowest_before(running[:, k], gain[:, k], first[full], count[full])
-        switching = np.flatnonzero((np.maximum.reduceat(running - low, first[full], axis=0) > SWITCH).any(axis=1))
+        switching = np.flatnonzero((np.maximum.reduceat(running - low, first[full], axis=0) > SWITCH / 2).any(axis=1))
         for i, k, n in zip(full.tolist(), best.tolist(), amount.tolist(), strict=True):
             if n:
                 out[i] = (self.languages[k], 1.0, [(0, int(count[i]), self.languages[k])])

@@ -1,4 +1,5 @@
 import collections
+import copy
 import itertools
 import random
 import re
@@ -222,6 +223,16 @@ def languages(spark, data):
     return langid.train(spark.read.parquet(f"{data}/documents.parquet"))
 
 
+def test_two_short_stretches_pay_for_one_switch(languages):
+    model = copy.copy(languages)
+    one, two, _ = model.languages[:3]
+    rows = [[10, -20, 0], [-20, 10, 0]]
+    model.known, model.letters = {"a": 0, "b": 1}, np.ones(2, dtype=languages.letters.dtype)
+    model.scores = np.array([r + [-30] * (len(model.languages) - 3) for r in rows], dtype=languages.scores.dtype)
+    assert model.label(["a b"]) == [(one, 0.5, [(0, 1, one), (1, 2, two)])]
+    assert model.label(["a"]) == [(one, 1.0, [(0, 1, one)])] and 10 < langid.SWITCH < 20
+
+
 def test_spans_are_the_best_path(spark, data, languages):
     rng = random.Random(5)
     pool = [t.split() for _, t in documents(spark, data)]

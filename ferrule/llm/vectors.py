@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,10 +156,13 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
-def _block_links(a: np.ndarray, a_ids: np.ndarray, b: np.ndarray, b_ids: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Links of rows of a with rows of b: how many each row of a has, and for the ids that have any the smallest id they hang together with in this block."""
+def _block_links(a: np.ndarray, a_ids: np.ndarray, b: np.ndarray, b_ids: np.ndarray, least: float, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of rows of a with rows of b: the ids that have any, how many each is to count here, and the smallest id it hangs together with in this block.
+
+    A row of a counts all its links; one of b only those with rows of a that it does not meet in its own home (seen is false).
+    """
     near = (a @ b.T >= least) & (a_ids[:, None] != b_ids[None, :])
-    count = near.sum(axis=1)
+    count, back = near.sum(axis=1), (near & ~seen).sum(axis=0)
     rows, cols = np.flatnonzero(count), np.flatnonzero(near.any(axis=0))
     near = near[np.ix_(rows, cols)]
     low_a, low_b = a_ids[rows].copy(), b_ids[cols].copy()
@@ -169,7 +173,19 @@ def _block_links(a: np.ndarray, a_ids: np.ndarray, b: np.ndarray, b_ids: np.ndar
         if (new_a == low_a).all() and (new_b == low_b).all():
             break
         low_a, low_b = new_a, new_b
-    return count, np.concatenate([a_ids[rows], b_ids[cols]]), np.concatenate([low_a, low_b]), rows
+    return np.concatenate([a_ids[rows], b_ids[cols]]), np.concatenate([count[rows], back[cols]]), np.concatenate([low_a, low_b])
+
+
+def _visits(cells: pa.ListArray, home: np.ndarray) -> np.ndarray:
+    """Whether each row of cells, lists of cells, has each home."""
+    kinds, at = np.unique(home, return_inverse=True)
+    row = np.repeat(np.arange(len(cells)), pc.list_value_length(cells).to_numpy(zero_copy_only=False))
+    flat = cells.flatten().to_numpy(zero_copy_only=False)
+    place = np.minimum(np.searchsorted(kinds, flat), len(kinds) - 1)
+    hit = kinds[place] == flat
+    has = np.zeros((len(cells), len(kinds)), dtype=bool)
+    has[row[hit], place[hit]] = True
+    return has[:, at]
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", margin: float = MARGIN) -> DataFrame:
@@ -206,18 +222,22 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
                     near = x[i : i + 4096] @ c.T
                     home = near.argmax(axis=1)
                     rows, cells = np.nonzero(near >= near.max(axis=1)[:, None] - margin)
-                    yield pa.RecordBatch.from_pydict({"d": pa.array(np.full(len(rows), d), pa.int32()), "cell": pa.array(cells, pa.int32()), "home": pa.array(home[rows] == cells), "id": part.column("id").take(pa.array(rows + i)), "v": pa.FixedSizeListArray.from_arrays(pa.array(x[rows + i].ravel()), int(d)).cast(pa.list_(pa.float64()))})
+                    # the row at home carries all cells that its vector visits
+                    own = home[rows] == cells
+                    edge = np.searchsorted(rows, np.arange(len(near) + 1))
+                    lists = [cells[edge[x] : edge[x + 1]].tolist() if o else None for x, o in zip(rows.tolist(), own.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_pydict({"d": pa.array(np.full(len(rows), d), pa.int32()), "cell": pa.array(cells, pa.int32()), "home": pa.array(home[rows], pa.int32()), "cells": pa.array(lists, pa.list_(pa.int32())), "id": part.column("id").take(pa.array(rows + i)), "v": pa.FixedSizeListArray.from_arrays(pa.array(x[rows + i].ravel()), int(d)).cast(pa.list_(pa.float64()))})
 
-    placed = base.mapInArrow(assign, "d int, cell int, home boolean, id bigint, v array<double>")
+    placed = base.mapInArrow(assign, "d int, cell int, home int, cells array<int>, id bigint, v array<double>")
     placed = placed_table = settle(placed, spark)
-    sizes = placed.groupBy("d", "cell").agg(F.sum(F.col("home").cast("bigint")).alias("homes"), F.count("*").alias("visits"))
+    sizes = placed.groupBy("d", "cell").agg(F.sum((F.col("home") == F.col("cell")).cast("bigint")).alias("homes"), F.count("*").alias("visits"))
     # at most 64 * MOST_CELLS rows
     sizes = sizes.select("d", "cell", F.ceil(F.col("homes") / HOME_BLOCK).cast("int").alias("xs"), F.ceil(F.col("visits") / VISIT_BLOCK).cast("int").alias("ys")).filter("xs > 0")
     placed = placed.join(F.broadcast(sizes), ["d", "cell"])
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    homes = placed.filter("home").select("d", "cell", at("xs").alias("x"), spread("ys").alias("y"), "id", "v")
-    visits = placed.select("d", "cell", spread("xs").alias("x"), at("ys").alias("y"), "id", "v").toDF("d", "cell", "x", "y", "id", "v")
+    homes = placed.filter("home = cell").select("d", "cell", at("xs").alias("x"), spread("ys").alias("y"), "id", "v", "cells")
+    visits = placed.select("d", "cell", spread("xs").alias("x"), at("ys").alias("y"), "id", "v", "home").toDF("d", "cell", "x", "y", "id", "v", "home")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         kind = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("low", pa.int64())])
@@ -225,12 +245,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
             return kind.empty_table()
         a_ids, b_ids = left.column("id").to_numpy(), right.column("id").to_numpy()
         a, b = _matrix(left.column("v")), _matrix(right.column("v"))
+        cells, home = left.column("cells").combine_chunks(), right.column("home").to_numpy()
         parts = []
         for i in range(0, len(a), HOME_BLOCK):
             for j in range(0, len(b), VISIT_BLOCK):
-                count, ids, low, rows = _block_links(a[i : i + HOME_BLOCK], a_ids[i : i + HOME_BLOCK], b[j : j + VISIT_BLOCK], b_ids[j : j + VISIT_BLOCK], least)
-                n_of = np.zeros(len(ids), np.int64)
-                n_of[: len(rows)] = count[rows]
+                seen = _visits(cells[i : i + HOME_BLOCK], home[j : j + VISIT_BLOCK])
+                ids, n_of, low = _block_links(a[i : i + HOME_BLOCK], a_ids[i : i + HOME_BLOCK], b[j : j + VISIT_BLOCK], b_ids[j : j + VISIT_BLOCK], least, seen)
                 parts.append(pa.table({"id": ids, "n": n_of, "low": low}, schema=kind))
         return pa.concat_tables(parts)
 

@@ -77,6 +77,19 @@ def test_recall_against_brute_force(spark, monkeypatch):
     assert np.mean([got[i].component_id == label[i] for i in range(len(x))]) > 0.95
 
 
+def test_links_found_from_one_side_count_for_both(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL", 20)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = x + rng.normal(size=x.shape) * 0.07
+    rows = [(2 * i + k, v.tolist(), "") for i, pair in enumerate(zip(x, y, strict=True)) for k, v in enumerate(pair)]
+    got = {r.vec_id: r for r in vectors.near_duplicates(spark.createDataFrame(rows, VECTORS), least=0.85, margin=0.05).collect()}
+    linked = [got[2 * i + 1].component_id == 2 * i for i in range(300)]
+    assert 100 < sum(linked) < 300
+    assert [(got[2 * i].n_links, got[2 * i + 1].n_links) for i in range(300)] == [(int(z), int(z)) for z in linked]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = random.Random(seed)

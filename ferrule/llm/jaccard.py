@@ -2,7 +2,8 @@
 
 Texts with equal shingle sets are one node.  Shingles are ordered, the rarest first, by a bounded summary of the whole corpus and
 then by hash; two sets that reach the threshold share a shingle among the first n - ceil(t * n) + 1 of each.  Nodes with the same
-prefix and size form a group, and only groups' prefixes are posted.  Pairs then come in rounds.  First every group meets the one
+prefix and size form a group; grouping only serves the first round, in which only groups' prefixes are posted.  The later rounds
+and the last join post the prefixes of single nodes.  Pairs come in rounds.  First every group meets the one
 group that it shares most with, out of the heads of the lists of its shingles, and every node the first of its group: a linear
 number of pairs, of which the verified ones are united to components.  A few more such rounds follow for the lists whose nodes
 still lie in different components, each time with other heads.  Then all pairs are verified that such lists still hold.  A pair

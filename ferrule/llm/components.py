@@ -24,7 +24,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         roles = ends.groupBy("node").agg(F.sum("below").alias("below"), F.sum("above").alias("above"))
         if roles.filter("below > 1 OR (below > 0 AND above > 0)").isEmpty():
             roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(roots)
+            out = settle(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(roots))
+            discard(edges)
+            return out
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
         large = both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -1,10 +1,13 @@
 """Which hashes of a corpus occur more than once, and which very often: a summary of bounded size that covers every row.
 
-Workers pack the leading 32 bits of their hashes as sorted, delta-coded, compressed blocks with local counts, so that a shuffle
-carries one to three bytes a hash.  Each slice of the hash space is then merged by itself.  What reaches the driver is bounded
-whatever the corpus: a bitmap of 2 ** bits bits, in which a bit is set if some 32-bit value of its slot occurs twice, and the
-`hottest` most frequent values.  A hash that really repeats always has its bit set; others may, more often in a larger corpus.
-So whoever drops what has no bit loses nothing, and an order by frequency that knows only the hottest values is still one order.
+The hash space is cut into slices, a power of two of them.  Workers pack the 32 bits that follow a slice's own of their hashes as
+sorted, delta-coded, compressed blocks with local counts, so that a shuffle carries one to three bytes a hash.  Each slice is then
+merged by itself.  What reaches the driver is bounded whatever the corpus: a bitmap, in which a bit is set if some value of its slot
+occurs twice, and the `hottest` most frequent values.  A hash that really repeats always has its bit set; others may.  So whoever
+drops what has no bit loses nothing, and an order by frequency that knows only the hottest values is still one order.
+
+The bitmap has about a bit for every word of the corpus, 2 ** MOST_BITS at most.  Beyond a corpus of so many words it fills up, and
+in the end every hash may repeat: nothing is dropped any more, which costs time but no result.
 """
 
 from __future__ import annotations
@@ -22,6 +25,9 @@ from .shared import partitions, slices
 
 #: Hashes that a worker gathers before it packs them.
 GATHER = 4 << 20
+#: Logarithms of the bitmap's least and greatest size in bits; bytes of text that count as a word.
+LEAST_BITS, MOST_BITS = 20, 30
+WORD_BYTES = 6
 
 
 def pack(values: np.ndarray, counts: np.ndarray) -> bytes:
@@ -38,8 +44,8 @@ def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Repeated:
-    def __init__(self, bitmap: np.ndarray, bits: int, hot: np.ndarray, hot_counts: np.ndarray):
-        self.bitmap, self.bits, self.hot, self.hot_counts = bitmap, bits, hot, hot_counts
+    def __init__(self, bitmap: np.ndarray, bits: int, slice_bits: int, hot: np.ndarray, hot_counts: np.ndarray):
+        self.bitmap, self.bits, self.slice_bits, self.hot, self.hot_counts = bitmap, bits, slice_bits, hot, hot_counts
 
     def may_repeat(self, hashes: np.ndarray) -> np.ndarray:
         slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -49,7 +55,7 @@ class Repeated:
         """0, or for one of the hottest values the binary logarithm of its count."""
         if not len(self.hot):
             return np.zeros(len(hashes), dtype=np.uint8)
-        value = (hashes >> np.uint64(32)).astype(np.uint32)
+        value = hashes >> np.uint64(32 - self.slice_bits)
         at = np.minimum(np.searchsorted(self.hot, value), len(self.hot) - 1)
         return np.where(self.hot[at] == value, self.hot_counts[at], 0).astype(np.uint8)
 
@@ -59,15 +65,15 @@ def gather(batches: Iterable[pa.RecordBatch], hashes_of: Callable[[pa.RecordBatc
 
     def blocks(parts: list[np.ndarray]) -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(parts), return_counts=True)
-        cut = np.searchsorted(values, (np.arange(1, 1 << slice_bits, dtype=np.uint64) << np.uint64(32 - slice_bits)).astype(np.uint32))
-        edges = [0, *cut.tolist(), len(values)]
+        edges = [0, *np.searchsorted(values, np.arange(1, 1 << slice_bits, dtype=np.uint64) << np.uint64(32)).tolist(), len(values)]
+        values = values.astype(np.uint32)
         rows = [(i, pack(values[a:b], counts[a:b])) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
         return pa.RecordBatch.from_pydict({"slice": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.binary())})
 
     parts, held = [], 0
     for batch in batches:
         h = hashes_of(batch)
-        parts.append((h >> np.uint64(32)).astype(np.uint32))
+        parts.append(h >> np.uint64(32 - slice_bits))
         held += len(h)
         if held >= GATHER:
             yield blocks(parts)
@@ -76,10 +82,12 @@ def gather(batches: Iterable[pa.RecordBatch], hashes_of: Callable[[pa.RecordBatc
         yield blocks(parts)
 
 
-def repeated(docs: DataFrame, text_col: str, hashes_of: Callable[[pa.RecordBatch], np.ndarray], bits: int = 27, hottest: int = 1 << 20, hot_from: int = 32) -> Repeated:
+def repeated(docs: DataFrame, text_col: str, hashes_of: Callable[[pa.RecordBatch], np.ndarray], hottest: int = 1 << 20, hot_from: int = 32) -> Repeated:
     """The summary of all hashes that hashes_of finds in the batches of docs."""
     spark = docs.sparkSession
-    slice_bits = min(bits - 6, max(6, math.ceil(math.log2(2 * partitions(spark)))))
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(size / WORD_BYTES + 1))))
+    slice_bits = min(bits - 6, 16, max(6, math.ceil(math.log2(2 * partitions(spark)))))
     quota = max(1, hottest >> slice_bits)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,24 +116,22 @@ def repeated(docs: DataFrame, text_col: str, hashes_of: Callable[[pa.RecordBatch
         fold()
         twice = counts >= 2
         values, counts = values[twice], counts[twice]
-        low = np.uint32(which << (32 - slice_bits)) if which else np.uint32(0)
-        slot = np.unique((values - low) >> np.uint32(32 - bits)) if bits <= 32 else None
         mask = np.zeros(1 << (bits - slice_bits), dtype=np.uint8)
-        mask[slot] = 1
+        mask[values >> np.uint32(32 - bits + slice_bits)] = 1
         hot = np.flatnonzero(counts >= hot_from)
         hot = np.sort(hot[np.argsort(-counts[hot], kind="stable")[:quota]])
-        return pa.table({"slice": [which], "bitmap": [np.packbits(mask, bitorder="little").tobytes()], "hot": [values[hot].astype("<u4").tobytes()], "counts": [np.log2(counts[hot]).astype(np.uint8).tobytes()]}, schema=kind)
+        return pa.table({"slice": [which], "bitmap": [np.packbits(mask, bitorder="little").tobytes()], "hot": [((np.uint64(which) << np.uint64(32)) + values[hot]).astype("<u8").tobytes()], "counts": [np.log2(counts[hot]).astype(np.uint8).tobytes()]}, schema=kind)
 
     found = docs.mapInArrow(scan, "slice int, block binary").groupBy("slice").applyInArrow(merge, "slice int, bitmap binary, hot binary, counts binary")
     bitmap = np.zeros(1 << (bits - 3), dtype=np.uint8)
     width = len(bitmap) >> slice_bits
     hot, counts = [], []
-    # bounded: the bitmap has 2 ** bits bits, and there are at most `hottest` values
+    # bounded: the bitmap has 2 ** MOST_BITS bits at most, and there are at most `hottest` values
     for row in found.orderBy("slice").toLocalIterator():
         bitmap[row["slice"] * width : (row["slice"] + 1) * width] = np.frombuffer(row["bitmap"], dtype=np.uint8)
-        hot.append(np.frombuffer(row["hot"], dtype="<u4"))
+        hot.append(np.frombuffer(row["hot"], dtype="<u8"))
         counts.append(np.frombuffer(row["counts"], dtype=np.uint8))
-    return Repeated(bitmap, bits, np.concatenate(hot or [np.zeros(0, np.uint32)]), np.concatenate(counts or [np.zeros(0, np.uint8)]))
+    return Repeated(bitmap, bits, slice_bits, np.concatenate(hot or [np.zeros(0, np.uint64)]), np.concatenate(counts or [np.zeros(0, np.uint8)]))
 
 
 def row_key(id_col: str, text_col: str):

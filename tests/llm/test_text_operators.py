@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import same_rows
-from ferrule.llm import html, jaccard, langid, quality, queries, substrings
+from ferrule.llm import html, jaccard, langid, quality, queries, sketch, substrings
 from ferrule.llm.shared import Words
 from pyspark.sql import functions as F
 
@@ -96,6 +96,53 @@ def test_jaccard_against_brute_force(spark, seed, k, percent):
     assert got == brute_components(docs, k, percent)
 
 
+def test_jaccard_with_a_full_summary_and_no_rounds(spark, monkeypatch):
+    """A bitmap in which every hash may repeat, as in a corpus too large for it, changes no result; nor do the rounds."""
+    monkeypatch.setattr(sketch, "LEAST_BITS", 7)
+    monkeypatch.setattr(sketch, "MOST_BITS", 7)
+    monkeypatch.setattr(jaccard, "ROUNDS", 0)
+    docs = near_copies(4)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link_components(df).collect()), key=repr)
+    assert got == brute_components(docs, 4, 85)
+
+
+def test_jaccard_rounds_until_nothing_is_open(spark, monkeypatch):
+    """Rounds that never stop early, and marks of the least size, which hardly filter."""
+    monkeypatch.setattr(jaccard, "ENOUGH", -1)
+    monkeypatch.setattr(jaccard, "WORTH", -1)
+    monkeypatch.setattr(jaccard, "MARKS", 64)
+    docs = near_copies(5)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link_components(df, k=2, percent=60).collect()), key=repr)
+    assert got == brute_components(docs, 2, 60)
+
+
+def test_jaccard_groups_of_equal_prefix_and_size(spark):
+    """Sets of one size that share their rare shingles and differ in frequent ones form one group; its members are verified."""
+    rng = random.Random(9)
+    common = [f"c{i}" for i in range(60)]
+    rare = [f"r{i}" for i in range(40)]
+    docs = [" ".join(common)] * 40
+    for _ in range(12):
+        own = rare + rng.sample(common, 30)
+        docs.append(" ".join(own))
+        docs.append(" ".join(own))
+    docs = [(i, f"{t} {i % 2}") for i, t in enumerate(docs)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link_components(df, k=1, percent=60).collect()), key=repr)
+    assert got == brute_components(docs, 1, 60)
+
+
+def test_marks_differ_no_more_than_sets():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        a = np.unique(rng.integers(0, 2**64, rng.integers(1, 900), dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.8], rng.integers(0, 2**64, rng.integers(1, 300), dtype=np.uint64)]))
+        differ = sum(int(x).bit_count() for x in (jaccard.parities(a) ^ jaccard.parities(b)).view(np.uint64))
+        assert differ <= len(np.setxor1d(a, b))
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.link_components(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 

@@ -87,11 +87,19 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id reachable by links, the row's own included.  Rows are told apart by text alone: repeated rows and equal sets are linked.
     A null id counts in no component's smallest and has its component's, or null.  Other columns are ignored.
     """
+    placed = components(docs, id_col, text_col, k, percent)
+    lowest = placed.filter("n > 0").groupBy("c1", "c2").agg(F.min("id").alias("least"))
+    out = placed.join(lowest, ["c1", "c2"], "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
+    """(id, th, n, c1, c2) for every row: its id, a hash of its text, the size of its set, and its component's name, null without a set."""
     require(docs, id_col, text_col)
     if not 1 <= percent <= 100:
         raise ValueError("percent must be from 1 to 100")
     spark = docs.sparkSession
-    plain = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    plain = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     known = spark.sparkContext.broadcast(sketch.repeated(plain.select("text"), "text", lambda batch: distinct_shingles(batch.column("text"), k)[0]))
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,14 +130,14 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 marks[i] = parities(own)
                 shingles[i] = own.tobytes()
             none = n == 0
-            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "n": n, "h1": pa.array(h1, mask=none), "h2": pa.array(h2, mask=none), "grp": pa.array(group, pa.binary()), "prefix": pa.array(prefix, pa.list_(pa.int64())), "place": pa.array(place, pa.list_(pa.int32())), "marks": pa.array(marks, pa.list_(pa.int64())), "shingles": pa.array(shingles, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "th": batch.column("th"), "n": n, "h1": pa.array(h1, mask=none), "h2": pa.array(h2, mask=none), "grp": pa.array(group, pa.binary()), "prefix": pa.array(prefix, pa.list_(pa.int64())), "place": pa.array(place, pa.list_(pa.int32())), "marks": pa.array(marks, pa.list_(pa.int64())), "shingles": pa.array(shingles, pa.binary())})
 
-    schema = "id bigint, n bigint, h1 bigint, h2 bigint, grp binary, prefix array<bigint>, place array<int>, marks array<bigint>, shingles binary"
+    schema = "id bigint, th bigint, n bigint, h1 bigint, h2 bigint, grp binary, prefix array<bigint>, place array<int>, marks array<bigint>, shingles binary"
     rows = settle(plain.mapInArrow(profile, schema).withColumn("node", F.monotonically_increasing_id()), spark)
     found = rows.filter("grp IS NOT NULL")
     sets = found.select("node", "shingles")
     # a node is the row of its set that was kept; grp is from here on the least node of a group
-    nodes = settle(found.drop("id", "shingles").dropDuplicates(["h1", "h2"]), spark)
+    nodes = settle(found.drop("id", "th", "shingles").dropDuplicates(["h1", "h2"]), spark)
     groups = nodes.groupBy(F.col("grp").alias("key"), "n").agg(F.min("node").alias("grp"), F.count("*").alias("members"), F.first("prefix").alias("prefix"), F.first("place").alias("place"), F.first("marks").alias("marks"))
     groups = settle(groups.withColumn("marks", F.when(F.col("members") == 1, F.col("marks"))), spark)
     several = groups.filter("members > 1").select("key", "n", F.col("grp").alias("of"))
@@ -228,13 +236,32 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = united(_links(last, open_sets, percent))
     discard(table, pairs, last, open_sets)
 
+    # a component is named by a node and a name that no set has, a set without links by its hashes
     named = nodes.select("node", "h1", "h2").join(parts.select(F.col("id").alias("node"), "component"), "node").select("h1", "h2", "component")
-    lows = rows.filter("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("low")).join(named, ["h1", "h2"], "left")
-    lowest = lows.filter("component IS NOT NULL").groupBy("component").agg(F.min("low").alias("least"))
-    lows = lows.join(lowest, "component", "left").select("h1", "h2", F.when(F.col("component").isNull(), F.col("low")).otherwise(F.col("least")).alias("component_id"))
-    out = rows.select("id", "n", "h1", "h2").join(lows, ["h1", "h2"], "left")
-    out = settle(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("h1").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")), spark)
+    out = rows.select("id", "th", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
+    out = settle(out.select("id", "th", "n", F.coalesce("component", "h1").alias("c1"), F.when(F.col("component").isNull(), F.col("h2").cast("string")).otherwise("").alias("c2")), spark)
     discard(rows, nodes, groups, parts)
     known.destroy()
     sweep(spark)
     return out
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs without near duplicates: of every component one row stays, and every row whose text has no words.
+
+    That of the smallest id stays, a null id comes last, and of equal ids that of the smallest text hash.  Of rows with equal id
+    and equal text, whatever else they hold, one stays.  All columns stay as they are.
+    """
+    placed = components(docs, id_col, text_col, k, percent)
+    first = placed.filter("n > 0").groupBy("c1", "c2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("m")).select("m.id", "m.th")
+    none = placed.filter("n = 0").select("id", "th").distinct()
+    names = docs.columns
+    every = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    ident, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    key = [F.col(ident).cast("bigint").alias("_id"), F.xxhash64(F.col(text).cast("string")).alias("_th")]
+    kept = every.select("*", *key).join(first.unionAll(none), F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th")), "left_semi")
+    again = placed.filter("n > 0").groupBy("id", "th").count().filter("count > 1")
+    if not again.alias("x").join(first.alias("y"), F.expr("x.id <=> y.id AND x.th = y.th"), "left_semi").isEmpty():
+        wordless = F.col(text).isNull() | F.col(text).cast("string").rlike(r"\A[\x20\x09-\x0D]*\z")
+        kept = kept.filter(~wordless).dropDuplicates(["_id", "_th"]).unionAll(kept.filter(wordless))
+    return kept.drop("_id", "_th").toDF(*names)

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .shared import partitions, slices
 
-#: Hashes that a worker gathers before it packs them.
-GATHER = 4 << 20
+#: Hashes that a worker gathers before it packs them; sorting takes some 50 bytes for each.
+GATHER = 1 << 20
 #: Logarithms of the bitmap's least and greatest size in bits; bytes of text that count as a word.
 LEAST_BITS, MOST_BITS = 20, 30
 WORD_BYTES = 6

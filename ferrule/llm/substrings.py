@@ -22,11 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import sketch
-from .shared import Words, discard, mix, require, run_hash, run_sums, settle, slices
+from .shared import Words, discard, mix, require, run_hash, run_sums, settle, slices, sweep
 
-LEAST_WORDS = 40
-#: Words of a passage that is found wherever it begins and ends.
-PASSAGE = 50
+#: Words of a run of sentences, and of a passage that is found wherever it begins and ends.
+LEAST_WORDS = PASSAGE = 50
 #: Two hashes of a run's words make 128 bits.
 SALTS = (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47)
 #: Bytes that end a sentence at a word's end, also before a closing quote or bracket.
@@ -161,9 +160,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     names, place = list(docs.columns), f"c{docs.columns.index(text_col)}"
     every = docs.toDF(*[f"c{i}" for i in range(len(names))])
     every = every.withColumn("_rid", F.col(f"c{names.index(id_col)}").cast("bigint")).withColumn("_rth", F.xxhash64(place)).withColumn(place, F.col(place).cast("string"))
-    joined = every.join(gone, F.col("_rid").eqNullSafe(F.col("_gid")) & (F.col("_rth") == F.col("_gth")), "left").drop("_gid", "_gth")
+    own = F.col("_rid").eqNullSafe(F.col("_gid")) & (F.col("_rth") == F.col("_gth"))
+    # the runs grow with the corpus: never broadcast, whatever their number here
+    joined = every.join(gone.hint("merge"), own, "left").drop("_gid", "_gth")
     if passage:
         joined = settle(joined, spark)
+        known.destroy()
+        discard(gone)
+        sweep(spark)
         left = joined.select(F.col("_rid").alias("_id"), F.col("_rth").alias("_th"), F.col(place).alias("_text"), "_gone")
         parts = spark.sparkContext.broadcast(sketch.repeated(left, "_text", lambda batch: windows(Words(batch.column("_text")), batch.column("_gone"), passage)[2], hottest=64))
 
@@ -178,7 +182,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
                 yield pa.RecordBatch.from_pydict({"h1": h1.view(np.int64), "h2": h2.view(np.int64), "_id": batch.column("_id").take(at), "_th": batch.column("_th").take(at), "a": own, "b": own + np.int32(passage)})
 
         more = later(settle(left.mapInArrow(emit_windows, "h1 bigint, h2 bigint, _id bigint, _th bigint, a int, b int"), spark), spark).withColumnRenamed("_gone", "_more")
-        joined = joined.join(more, F.col("_rid").eqNullSafe(F.col("_gid")) & (F.col("_rth") == F.col("_gth")), "left").drop("_gid", "_gth")
+        sweep(spark)
+        joined = joined.join(more.hint("merge"), own, "left").drop("_gid", "_gth")
         joined = joined.withColumn("_gone", F.when(F.col("_more").isNull(), F.col("_gone")).when(F.col("_gone").isNull(), F.col("_more")).otherwise(F.concat("_gone", "_more"))).drop("_more")
     joined = joined.drop("_rid", "_rth")
 

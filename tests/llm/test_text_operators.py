@@ -154,7 +154,7 @@ def test_op4_against_sql(spark, data, duck):
 # ---------------------------------------------------------------------------
 
 
-def brute_dedup(spark, docs, least):
+def brute_dedup(spark, docs, least, passage=None):
     hashes = {r.t: r.h for r in spark.createDataFrame([(t,) for t in {t for _, t in docs if t is not None}], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
     spans, texts = collections.defaultdict(list), []
     for k, (i, t) in enumerate(docs):
@@ -185,6 +185,16 @@ def brute_dedup(spark, docs, least):
         for p, k, b in places:
             if p != first:
                 gone[k].update(range(p[3], b))
+    if passage:
+        places = collections.defaultdict(list)
+        for k, (i, t) in enumerate(docs):
+            for a in range(len(words(t)) - passage + 1):
+                if not gone[k].issuperset(range(a, a + passage)):
+                    places[tuple(words(t)[a : a + passage])].append(((i is not None, i or 0, hashes.get(t, 0), a), k))
+        for same in places.values():
+            for p, k in same:
+                if p != min(same)[0]:
+                    gone[k].update(range(p[3], p[3] + passage))
     out = []
     for k, (i, t) in enumerate(docs):
         raw, at = texts[k]
@@ -196,14 +206,14 @@ def brute_dedup(spark, docs, least):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("least", [50, 8, 1])
-def test_substring_dedup_against_brute_force(spark, data, least):
+@pytest.mark.parametrize("least, passage", [(50, None), (8, None), (1, None), (50, 50), (30, 20)])
+def test_substring_dedup_against_brute_force(spark, data, least, passage):
     docs = documents(spark, data)[:80]
     docs += [(5000, None), (5001, ""), (5002, " "), (5003, docs[3][1]), (5003, docs[3][1]), (5004, "X. " + docs[7][1]), (None, docs[9][1]), (5005, "one two three. " * 60)]
     df = spark.createDataFrame([(i, t, "g", 1) for i, t in docs], "doc_id bigint, text string, _gone string, _rid int").repartition(4)
-    out = substrings.dedup(df, least_words=least)
+    out = substrings.dedup(df, least_words=least, passage=passage)
     assert out.columns == ["doc_id", "text", "_gone", "_rid", "n_removed"]
-    assert sorted(((r.doc_id, r.text, r.n_removed) for r in out.collect()), key=repr) == brute_dedup(spark, docs, least)
+    assert sorted(((r.doc_id, r.text, r.n_removed) for r in out.collect()), key=repr) == brute_dedup(spark, docs, least, passage)
 
 
 def test_substring_dedup_of_nothing(spark):

@@ -35,21 +35,15 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every component of near duplicates stays, that of the smallest id; of repeated ids the smallest row.  Rows without an id go."""
-    groups = jaccard.link_components(docs, k=SHINGLE, percent=PERCENT)
-    heads = groups.filter("doc_id = component_id").select("doc_id")
-    kept = docs.join(heads.distinct(), "doc_id", "left_semi")
-    if not heads.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        row = F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("row")
-        kept = kept.groupBy("doc_id").agg(row).select(*[F.col(f"row.{c}").alias(c) for c in docs.columns])
-    return kept.select(*docs.columns)
+    """One document of every component of near duplicates stays, that of the smallest id; texts without words stay all."""
+    return jaccard.dedup(docs, k=SHINGLE, percent=PERCENT)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated runs of sentences out of all but their first place; texts that had nothing else go."""
+    """Takes repeated runs of sentences and repeated passages of 50 words out of all but their first place; texts that had nothing else go."""
     names = docs.columns
     plain = docs.toDF(*[c if c in ("doc_id", "text", "n_chars") else f"c{i}" for i, c in enumerate(names)])
-    kept = substrings.dedup(plain).filter("n_removed = 0 OR trim(BOTH FROM text) <> ''")
+    kept = substrings.dedup(plain, passage=substrings.PASSAGE).filter("n_removed = 0 OR trim(BOTH FROM text) <> ''")
     if "n_chars" in names:
         kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return kept.select(*plain.columns).toDF(*names)

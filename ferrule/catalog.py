@@ -96,18 +96,44 @@ def scope(names: list[str], include: list[str] = (), exclude: list[str] = ()) ->
     return [n for n in names if not any(fnmatch.fnmatchcase(n, p) for p in exclude)]
 
 
-#: Bookkeeping tables of common frameworks (fixed names), and generic names that count only with their usual columns.
-FRAMEWORK_TABLES = (
-    "schema_migrations", "ar_internal_metadata", "django_migrations", "flyway_schema_history", "databasechangelog", "databasechangeloglock",
-    "alembic_version", "knex_migrations", "knex_migrations_lock", "sequelizemeta", "_prisma_migrations", "__efmigrationshistory", "goose_db_version",
-    "phinxlog", "doctrine_migration_versions", "typeorm_metadata", "gorp_migrations", "play_evolutions",
-)
-GENERIC_TABLES = {"migrations": {"id", "migration", "batch"}, "schema_version": {"version"}, "migration_versions": {"version", "executed_at"}}
-
-
-def is_framework_table(name: str, columns: list[str]) -> bool:
+#: Bookkeeping tables of common frameworks (fixed names), beginnings of such names, and generic names that count only with exactly
+#: these columns: name, (family, whether it must be there).
+FRAMEWORK_TABLES = frozenset({
+    "_prisma_migrations", "knex_migrations", "knex_migrations_lock", "sequelizemeta", "ar_internal_metadata", "flyway_schema_history",
+    "databasechangelog", "databasechangeloglock", "django_migrations", "alembic_version", "typeorm_metadata", "goose_db_version",
+    "__efmigrationshistory", "doctrine_migration_versions", "phinxlog", "_sqlx_migrations", "__diesel_schema_migrations",
+    "seaql_migrations", "mikro_orm_migrations", "pgmigrations", "atlas_schema_revisions", "aerich", "_fluent_migrations",
+})
+FRAMEWORK_PREFIXES = ("__drizzle",)
+GENERIC_TABLES = {
+    "schema_migrations": {"version": ("text", True)},
+    "migrations": {"migration": ("text", True), "batch": ("integer", True), "id": ("integer", False)},
+    "migration": {"version": ("text", True), "apply_time": ("integer", True)},
+}
+#: Kinds of a column by family.
+FAMILIES = {"text": {"text", "varchar", "char", "string"}, "integer": {"integer", "int", "bigint", "smallint", "tinyint", "mediumint"}}
+
+
+def is_framework_table(name: str, columns: list[str] | dict[str, str | None]) -> bool:
+    """Whether a table is a framework's bookkeeping.  columns: names, or names with their kinds; a kind that is not known fits.
+
+    A generic name counts only if the table has the columns that such a table has and no others; anything else is application data.
+    """
     low = name.rpartition(".")[2].lower()
-    return low in FRAMEWORK_TABLES or (low in GENERIC_TABLES and {c.lower() for c in columns} >= GENERIC_TABLES[low])
+    if low in FRAMEWORK_TABLES or low.startswith(FRAMEWORK_PREFIXES):
+        return True
+    shape = GENERIC_TABLES.get(low)
+    if shape is None:
+        return False
+    kinds = {c.lower(): k for c, k in (columns.items() if isinstance(columns, dict) else ((c, None) for c in columns))}
+    if not {c for c, (_, must) in shape.items() if must} <= set(kinds) <= set(shape):
+        return False
+    return all(k is None or k.lower() in FAMILIES[shape[c][0]] for c, k in kinds.items())
+
+
+def application_tables(tables: dict[str, list[str] | dict[str, str | None]], include: list[str] = (), exclude: list[str] = ()) -> list[str]:
+    """The tables in scope without bookkeeping; a bookkeeping table that a pattern includes stays."""
+    return [n for n in scope(list(tables), include, exclude) if include or not is_framework_table(n, tables[n])]
 
 
 def namespaces(tables: list[str], mapping: dict[str, str], default: str | None = None) -> dict[str, str]:

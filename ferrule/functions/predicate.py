@@ -176,8 +176,8 @@ COLLATIONS: dict[str, tuple[bool, bool, bool, str]] = {
     "utf8mb4_bin": (False, True, False, "UTF8_BINARY_RTRIM"),
     "utf8mb3_bin": (False, True, False, "UTF8_BINARY_RTRIM"),
     "utf8mb4_0900_bin": (False, False, False, "UTF8_BINARY"),
-    "utf8mb4_general_ci": (True, True, False, "UTF8_LCASE_RTRIM"),
-    "utf8mb3_general_ci": (True, True, False, "UTF8_LCASE_RTRIM"),
+    "utf8mb4_general_ci": (True, True, True, "UNICODE_CI_AI_RTRIM"),
+    "utf8mb3_general_ci": (True, True, True, "UNICODE_CI_AI_RTRIM"),
     "utf8mb4_0900_ai_ci": (True, False, True, "UNICODE_CI_AI"),
     "utf8mb4_0900_as_cs": (False, False, False, "UNICODE"),
 }
@@ -251,18 +251,39 @@ def temporal(text: str, col: Col, lens: str | None) -> date | datetime:
 
 
 def network(text: str, kind: str) -> str:
-    """The canonical text of an address literal: inet keeps a mask unless it covers the address alone, cidr always has one, address never."""
+    """The text in which a server gives back an address: inet keeps a mask unless it covers the address alone, cidr always has one, address never."""
+    if "%" in text:
+        raise Refused(f"no server stores an address with a zone: {text!r}")
     try:
         if kind == "cidr":
-            return str(ipaddress.ip_network(text, strict=True))
+            net = ipaddress.ip_network(text, strict=True)
+            return f"{_address(net.network_address)}/{net.prefixlen}"
         if kind == "address":
-            return str(ipaddress.ip_address(text))
+            return _address(ipaddress.ip_address(text), one_group=True)
         found = ipaddress.ip_interface(text)
-        return str(found.ip) if found.network.prefixlen == found.max_prefixlen else str(found)
+        own = _address(found.ip)
+        return own if found.network.prefixlen == found.max_prefixlen else f"{own}/{found.network.prefixlen}"
     except ValueError:
         raise Refused(f"not a {kind} literal: {text!r}") from None
 
 
+def _address(ip, one_group: bool = False) -> str:
+    """Addresses that hold one of the older kind end in its dots; one_group: a single group of zeros is left out too, the first of them."""
+    if ip.version == 4:
+        return str(ip)
+    upper, lower = int(ip) >> 32, int(ip) & 0xFFFFFFFF
+    dotted = ipaddress.IPv4Address(lower)
+    if upper == 0xFFFF:
+        return f"::ffff:{dotted}"
+    if upper == 0 and lower > 0xFFFF:
+        return f"::{dotted}"
+    text = ip.compressed
+    if one_group and "::" not in text and "0" in (groups := text.split(":")):
+        k = groups.index("0")
+        return ":".join(groups[:k]) + "::" + ":".join(groups[k + 1 :])
+    return text
+
+
 def _value(lit: Literal, name: str, col: Col, rules: Rules, op: str) -> Column:
     t = col.type
     if lit.kind == "null":

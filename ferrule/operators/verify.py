@@ -16,11 +16,11 @@ SAMPLE, SEED = 100, 42
 
 
 def canonical(name: str, kind: T.DataType) -> Column:
-    """A column's text, the same on every side: fixed digits for floats, UTC for instants, hex for bytes."""
-    c = F.col(f"`{name}`")
-    if isinstance(kind, (T.FloatType, T.DoubleType)):
-        special = F.when(F.isnan(c), "NaN").when(c == float("inf"), "Infinity").when(c == float("-inf"), "-Infinity")
-        return F.when(F.isnan(c) | (F.abs(c) == float("inf")), special).when(F.abs(c) < 1e18, c.cast("decimal(38,6)").cast("string")).otherwise(c.cast("string"))
+    """A column's text, the same on every side: floats so that they can be read back unchanged, UTC for instants, hex for bytes.
+
+    Whoever compares floats to fewer digits casts them to a decimal first.
+    """
+    c = F.col("`" + name.replace("`", "``") + "`")
     if isinstance(kind, T.BinaryType):
         return F.lower(F.hex(c))
     if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
@@ -44,7 +44,11 @@ def row_hash(df: DataFrame, columns: list[str] | None = None, algorithm: str = "
 
 
 def key_text(key: list[str]) -> Column:
-    return F.concat_ws("|", *[F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("")) for k in key])
+    """A key's text: of one column the value's own, of several the parts with their lengths, so that no two keys have the same."""
+    parts = [F.col("`" + k.replace("`", "``") + "`").cast("string") for k in key]
+    if len(parts) == 1:
+        return parts[0]
+    return F.concat_ws("|", *[F.coalesce(F.concat(F.char_length(c).cast("string"), F.lit(":"), c), F.lit("~")) for c in parts])
 
 
 def sample_hashes(df: DataFrame, key: list[str], n: int = SAMPLE, seed: int = SEED, algorithm: str = "md5", tagged: bool = False) -> DataFrame:
@@ -57,10 +61,10 @@ def sample_hashes(df: DataFrame, key: list[str], n: int = SAMPLE, seed: int = SE
 
 def compare_hashes(source: DataFrame, target: DataFrame) -> DataFrame:
     """(pk, status) of keys that differ: only_source, only_target or differs."""
-    s = source.select(F.col("pk"), F.col("row_hash").alias("s"))
-    t = target.select(F.col("pk"), F.col("row_hash").alias("t"))
+    s = source.select(F.col("pk").alias("x"), F.col("row_hash").alias("s"))
+    t = target.select(F.col("pk").alias("y"), F.col("row_hash").alias("t"))
     status = F.when(F.col("t").isNull(), "only_source").when(F.col("s").isNull(), "only_target").otherwise("differs")
-    return s.join(t, "pk", "full_outer").filter(~F.col("s").eqNullSafe(F.col("t"))).select("pk", status.alias("status"))
+    return s.join(t, F.col("x").eqNullSafe(F.col("y")), "full_outer").filter(~F.col("s").eqNullSafe(F.col("t"))).select(F.coalesce("x", "y").alias("pk"), status.alias("status"))
 
 
 def hashes(df: DataFrame, key: list[str], **options) -> DataFrame:
@@ -162,6 +166,17 @@ def exit_code(results: list[Result]) -> int:
     return MISMATCH if any(r.status == "mismatch" for r in results) else CLEAN
 
 
+def run_summary(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, rows) of everything a run moved: one count per table, added up in one job."""
+    every = None
+    for name in sorted(tables):
+        part = tables[name].agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows")
+        every = part if every is None else every.unionAll(part)
+    if every is None:
+        raise Refused("a run without tables has no summary")
+    return every
+
+
 def verify(source: dict[str, DataFrame], target: dict[str, DataFrame], keys: dict[str, list[str]], mode: str = "count", n: int = SAMPLE, seed: int = SEED, filters: dict[str, Column] | None = None) -> list[Result]:
     """Every table of either side: counts, a sample of row hashes, or a full diff."""
     if mode not in ("count", "sample", "full"):
@@ -184,7 +199,7 @@ def verify(source: dict[str, DataFrame], target: dict[str, DataFrame], keys: dic
         else:
             b = b.select(*a.columns)
             key = keys[name]
-            found = compare_hashes(sample_hashes(a, key, n, seed), sample_hashes(b, key, n, seed)) if mode == "sample" else diff(a, b, key)
+            found = compare_hashes(sample_hashes(a, key, n, seed, tagged=True), sample_hashes(b, key, n, seed, tagged=True)) if mode == "sample" else diff(a, b, key, tagged=True)
             rows = found.groupBy("status").count().orderBy("status").collect()
             out.append(Result(name, "mismatch" if rows else "ok", ", ".join(f"{r['count']} {r['status']}" for r in rows)))
     return out

@@ -128,7 +128,7 @@ def test_schema_versions_of_all_events(spark, tmp_path):
     spark.createDataFrame([(i, "ab"[i % 2]) for i in ids], "event_id bigint, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     anchors = [-40 + 100_040 * (2 * k + 1) // 20 for k in range(10)]
     expected = {i: ("ab"[i % 2], sum(x <= i for x in anchors) - 1 if i >= anchors[0] else None) for i in ids}
-    rows = catalogue.QUERIES["w3_schema_at_all"](spark, f"{tmp_path}").collect()
+    rows = catalogue.QUERIES["w3_schema_at"](spark, f"{tmp_path}").collect()
     assert len(rows) == len(ids) and {x.event_id: (x.table, x.version) for x in rows} == expected
 
 

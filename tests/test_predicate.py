@@ -1,6 +1,7 @@
 import pytest
 from ferrule.errors import Refused
 from ferrule.functions import predicate as p
+from ferrule.functions.dialect import translate
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -96,3 +97,46 @@ def test_filter_reaches_the_scan(spark, data):
     df = p.where(spark.read.parquet(f"{data}/orders.parquet"), "o_orderkey > 10 AND o_orderstatus = 'F'").select("o_orderkey")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(o_orderkey,10)" in plan and "EqualTo(o_orderstat" in plan
+
+
+@pytest.mark.parametrize(
+    "kind, text, expected",
+    [
+        ("address", "::102:304", "::1.2.3.4"), ("inet", "::1.2.3.4/96", "::1.2.3.4/96"), ("inet", "::ffff:a00:1", "::ffff:10.0.0.1"), ("inet", "::2", "::2"), ("inet", "::", "::"),
+        ("address", "2001:db8:0:1:2:3:4:5", "2001:db8::1:2:3:4:5"), ("inet", "2001:db8:0:1:2:3:4:5", "2001:db8:0:1:2:3:4:5"), ("address", "1:0:2:0:0:3:4:5", "1:0:2::3:4:5"), ("cidr", "::/96", "::/96"),
+    ],
+)
+def test_addresses_as_servers_print_them(kind, text, expected):
+    assert p.network(text, kind) == expected
+
+
+def test_addresses_with_zones_are_refused():
+    with pytest.raises(Refused):
+        p.network("fe80::1%eth0", "inet")
+
+
+def test_general_ci_folds_accents(spark):
+    df = spark.createDataFrame([("É ",), ("e",), ("f",)], "s string")
+    assert p.where(df, "s = 'e'", s=p.Col(T.StringType(), collation="utf8mb4_general_ci")).count() == 2
+
+
+@pytest.mark.parametrize(
+    "dialect, text",
+    [
+        ("postgres", "digest(x, 'whirlpool')"), ("postgres", "digest(x, y)"), ("postgres", "regexp_replace(a, 'b', 'c')"), ("postgres", "regexp_replace(a, 'b', '\\1', 'g')"), ("mysql", "date_format(t, p)"),
+        ("mysql", "date_format(t, '%U')"), ("postgres", "to_date(x, 'Q')"), ("postgres", "date_format(t, '%Y')"), ("mysql", "mod(a)"),
+    ],
+)
+def test_what_differs_is_refused(dialect, text):
+    with pytest.raises(Refused):
+        translate(text, dialect)
+
+
+def test_places_before_the_first(spark):
+    """Values as the two servers give them."""
+    for dialect, text, expected in [
+        ("mysql", "substr('abc', 0)", ""), ("mysql", "substr('abc', -5, 3)", ""), ("mysql", "substr('abc', -2)", "bc"), ("mysql", "mid('abc', 2, 1)", "b"), ("postgres", "substr('abc', 0, 2)", "a"), ("postgres", "substr('abc', -1, 3)", "a"),
+        ("postgres", "substr('abc', -5, 3)", ""), ("postgres", "left('abc', -1)", "ab"), ("postgres", "right('abc', -1)", "bc"), ("mysql", "left('abc', -1)", ""), ("postgres", "btrim('xxabyx', 'xy')", "ab"), ("postgres", "rtrim('abxx', 'x')", "ab"),
+        ("mysql", "length('é')", "2"), ("postgres", "length('é')", "1"), ("mysql", "mod(3, 0)", None), ("mysql", "date_format(timestamp '2024-03-05 07:08:09', '%Y-%m-%dT%H:%i, %W')", "2024-03-05T07:08, Tuesday"),
+    ]:
+        assert spark.sql(f"SELECT cast({translate(text, dialect)} AS string) AS v").first().v == expected, text

@@ -27,7 +27,7 @@ def test_masks(spark):
         assert got == {i: e for i, _, e in cases}, spec
 
 
-@pytest.mark.parametrize("name", ["r6_mask_inner_text", "r7_mask_outer_text"])
+@pytest.mark.parametrize("name", ["r6_mask_inner", "r7_mask_outer"])
 def test_whole_texts_are_masked(spark, data, tmp_path, name):
     from ferrule.plans import catalogue
 

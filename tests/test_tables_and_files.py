@@ -64,6 +64,20 @@ def test_scope():
         with pytest.raises(Refused):
             cat.scope(names, **kw)
     assert cat.is_framework_table("public.flyway_schema_history", []) and not cat.is_framework_table("migrations", ["id"]) and cat.is_framework_table("migrations", ["id", "migration", "batch"])
+    app = {"schema_migrations": ["id", "payload"], "migrations": ["id", "migration", "batch", "patient"], "schema_version": ["version", "customer"], "migration": ["version"]}
+    assert not any(cat.is_framework_table(n, c) for n, c in app.items())
+    assert cat.is_framework_table("schema_migrations", {"Version": "varchar"}) and not cat.is_framework_table("schema_migrations", {"version": "integer"})
+    assert cat.is_framework_table("__drizzle_migrations", []) and cat.is_framework_table("migration", ["apply_time", "version"]) and cat.is_framework_table("migrations", ["migration", "batch"])
+    books = {"aerich": [], "orders": ["id"]}
+    assert cat.application_tables(books) == ["orders"] and cat.application_tables(books, include=["a*"]) == ["aerich"]
+
+
+def test_near_doubles_and_separators_differ(spark):
+    x = spark.createDataFrame([("a|b", "c", 1e-7), ("k", "l", 0.1), ("m", None, 0.5)], "a string, b string, v double")
+    y = spark.createDataFrame([("a", "b|c", 1e-7), ("k", "l", 0.1 + 1e-9), ("m", "~", 0.5)], "a string, b string, v double")
+    found = verify.verify({"t": x}, {"t": y}, {"t": ["a", "b"]}, mode="full")
+    assert found[0].status == "mismatch" and found[0].detail == "1 differs, 2 only_source, 2 only_target"
+    assert verify.verify({"t": x}, {"t": x}, {"t": ["a", "b"]}, mode="full")[0].status == "ok"
 
 
 def test_rewrites(spark):

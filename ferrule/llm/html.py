@@ -22,8 +22,10 @@ from .shared import require, settle, slices
 
 #: Tokens of a run that marks boilerplate where it stands in two pages, and pages of a host in a shard.
 RUN, SHARD = 6, 512
+#: Articles of fewer words are teasers if outside them there are so many times more.
+TEASER, FAR_MORE = 25, 8
 
-_SKIP = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "head", "title", "select", "option", "textarea", "canvas", "audio", "video"}
+_SKIP = {"script", "style", "noscript", "template", "svg", "iframe", "object", "head", "title", "select", "option", "textarea", "canvas", "audio", "video"}
 _ASIDE = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "fieldset", "label"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -31,7 +33,12 @@ _RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
 #: Elements that the start of another ends.
 _CLOSED_BY = {"p": {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 #: Words of class, id or role that mark a part as something other than the article.
-_MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side-?bar|aside|related|recommend\w*|share|sharing|social|comments?|comment-?list|disqus|replies|reply|respond|footer|header|masthead|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|signup|login|search|pagination|pager|widget|toolbar|skip-?link|hidden|contentinfo|navigation|complementary|alert)(?=$|[\s_-])", re.I)
+_MARKS = re.compile(r"(?:^|[\s_-])(?:ads?(?=$|\s|[_-](?:slot|unit|box|container|wrapper|wrap|block|banner|space|zone|label|placeholder|content|inner|frame|text|top|bottom|left|right|\d))|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar|side-?bar|aside|related|recommend\w*|share|sharing|social|comments?|comment-?list|disqus|replies|reply|respond|footer|header|masthead|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscribe|signup|login|search|pagination|pager|widget|toolbar|skip-?link|hidden|contentinfo|navigation|complementary|alert)(?=$|[\s_-])", re.I)
+#: Such words that on a paragraph, heading or other piece of an article's own text say how it looks: it stays.
+_LOOKS = re.compile(r"(?:^|(?<=\s))(?:notices?|alert|header|footer|banner|search|hidden)(?=$|\s)", re.I)
+_PIECES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "th", "dd", "dt", "figcaption"}
+_QUOTED = re.compile(r"=\s*(?:\"[^\"]*\"?|'[^']*'?|[^\s>]+)")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=$|[\s=/])", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _BLANK = re.compile(r"\s+")
@@ -107,9 +114,11 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if not marked and m[4].strip():
             found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(m[4])}
             marks = " ".join(found.get(k, "") for k in ("class", "id", "role"))
+            if article and name in _PIECES:
+                marks = _LOOKS.sub(" ", marks)
             marked = bool(marks.strip() and _MARKS.search(marks)) and name not in ("html", "body") and not opens
             opens = opens or found.get("role", "").lower() in ("main", "article") or found.get("itemprop", "").lower() == "articlebody"
-            marked = marked or re.search(r"(?:^|\s)hidden(?:$|[\s=])", m[4]) is not None or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")) is not None
+            marked = marked or _HIDDEN.search(_QUOTED.sub(" ", m[4])) is not None or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")) is not None
         if marked != excluded or opens:
             flush()
         stack.append((name, excluded, article))
@@ -120,6 +129,14 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
+def teaser(found: list[tuple[int, str]]) -> bool:
+    """Whether marked articles hold so little beside the rest of the page that they can't be its main text."""
+    words = [0, 0]
+    for k, t in found:
+        words[k] += t.count(" ") + 1
+    return words[ARTICLE] < TEASER and words[OPEN] >= FAR_MORE * words[ARTICLE]
+
+
 def suffix_array(tokens: np.ndarray) -> np.ndarray:
     """The order of all suffixes, by prefix doubling."""
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
@@ -188,13 +205,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
         for batch in slices(batches, "html"):
             found = [blocks(x) for x in batch.column("html").to_pylist()]
             sure = [[t for k, t in b if k == ARTICLE] for b in found]
-            # a page with an article needs nothing from outside it
-            left = [[] if s else [t for _, t in b] for s, b in zip(sure, found, strict=True)]
+            # a page with an article needs nothing from outside it, unless that is a teaser beside far more text
+            left = [[] if s and not teaser(b) else [t for _, t in b] for s, b in zip(sure, found, strict=True)]
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "url": batch.column("url"), "host": batch.column("host"), "sure": pa.array([" ".join(s) for s in sure], pa.string()), "left": pa.array(left, pa.list_(pa.string()))})
 
-    parsed = plain.mapInArrow(cut, f"id {kind}, url string, host string, sure string, left array<string>")
+    parsed = settle(plain.mapInArrow(cut, f"id {kind}, url string, host string, sure string, left array<string>"), pages.sparkSession)
     sure = parsed.filter(F.size("left") == 0).select("id", "url", F.col("sure").alias("text"))
-    undecided = settle(parsed.filter(F.size("left") > 0).select("id", "url", "host", "left", F.xxhash64("left").alias("content")), pages.sparkSession)
+    undecided = parsed.filter(F.size("left") > 0).select("id", "url", "host", "left", F.xxhash64("left").alias("content"))
     rest = _decide(undecided, kind, run)
     out = sure.unionAll(rest)
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("bigint").alias("n_chars"))

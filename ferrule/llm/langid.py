@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from .shared import mix, require, slices
 
-#: Labelled documents of each language that the model is fitted on, chosen by a hash of the id; and the most languages.
-SAMPLE, MOST_LANGUAGES = 1500, 256
+#: Labelled documents of each language that the model is fitted on, chosen by a hash of the id.
+SAMPLE = 1500
+#: Languages whose counts a worker holds at a time.
+HELD = 64
 #: n-gram lengths in bytes, slots of the n-gram table, and the price of a switch between two words in nats.
 GRAMS, SLOTS, SWITCH = (1, 2, 3, 4), 1 << 16, 12.0
 #: Words whose scores a worker remembers.
@@ -186,38 +188,54 @@ class Model:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fits the n-gram table on at most SAMPLE rows of each of the MOST_LANGUAGES most frequent languages, chosen by a hash of the id; whole texts.
+    """Fits the n-gram table on at most SAMPLE rows of every language, chosen by a hash of the id; whole texts.
 
     Rows with a null language or text are left out; the counting runs on the executors, a bounded table per language comes back.
+    The model has SLOTS numbers for each language, so a column with a label per document is none.
     """
     require(docs, id_col, text_col, lang_col)
     plain = docs.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    names = sorted(r["lang"] for r in plain.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect())
+    spark = docs.sparkSession
+    keyed = plain.withColumn("h", F.xxhash64("id"))
+    number = {r["lang"]: r["count"] for r in plain.groupBy("lang").count().collect()}  # one row per language
+    names = sorted(number)
     if not names:
         raise ValueError("no labelled text to learn from")
-    # the window sees keys alone; texts follow through a threshold on the same hash, which has at most SAMPLE rows a language but for ties
-    keys = plain.filter(F.col("lang").isin(names)).select("lang", F.xxhash64("id").alias("h"))
-    last = keys.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= SAMPLE).groupBy("lang").agg(F.max("h").alias("last"))
-    bounds = {r["lang"]: r["last"] for r in last.collect()}
-    chosen = None
-    for name, bound in bounds.items():
-        one = (F.col("lang") == name) & (F.xxhash64("id") <= F.lit(bound))
-        chosen = one if chosen is None else chosen | one
-    sample = plain.filter(chosen).select("lang", "text")
+
+    def below(bounds: dict[str, int]) -> DataFrame:
+        """The rows whose hash is at most their language's bound."""
+        limits = spark.createDataFrame(list(bounds.items()), "lang string, bound bigint")
+        return keyed.join(limits, "lang").filter("h <= bound").drop("bound")
+
+    # hashes spread evenly, so that about twice the sample lies below this; then few rows a language are ranked, however many it has
+    near = {n: min(2**63 - 1, -(2**63) + (2**64 * 2 * SAMPLE) // c) if c > 2 * SAMPLE else 2**63 - 1 for n, c in number.items()}
+    found = {r["lang"]: r["count"] for r in below(near).groupBy("lang").count().collect()}
+    near = {n: b if found.get(n, 0) >= SAMPLE else 2**63 - 1 for n, b in near.items()}
+    ranked = below(near).select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= SAMPLE)
+    sample = below({r["lang"]: r["last"] for r in ranked.groupBy("lang").agg(F.max("h").alias("last")).collect()}).select("lang", "text")
     place = {n: k for k, n in enumerate(names)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((len(names), SLOTS))
-        scripts = np.zeros((len(names), len(SCRIPT_NAMES)))
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for k, (table, scripts) in held.items():
+                used = np.flatnonzero(table)
+                yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "slot": pa.array([used.tolist()], pa.list_(pa.int32())), "n": pa.array([table[used].tolist()], pa.list_(pa.float64())), "scripts": pa.array([scripts.tolist()], pa.list_(pa.float64()))})
+            held.clear()
+
         for batch in slices(batches, "text"):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if place[lang] not in held:
+                    if len(held) >= HELD:
+                        yield from told()
+                    held[place[lang]] = np.zeros(SLOTS), np.zeros(len(SCRIPT_NAMES))
+                table, scripts = held[place[lang]]
                 bare, letters, script = prepare(text.split() or [""])
                 word, slot = grams([w for w in bare if w] or [""])
-                table[place[lang]] += np.bincount(slot, minlength=SLOTS)
-                scripts[place[lang]] += np.bincount(script[script >= 0], weights=letters[script >= 0], minlength=len(SCRIPT_NAMES))
-        for k in np.flatnonzero(scripts.sum(axis=1)).tolist():
-            used = np.flatnonzero(table[k])
-            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "slot": pa.array([used.tolist()], pa.list_(pa.int32())), "n": pa.array([table[k][used].tolist()], pa.list_(pa.float64())), "scripts": pa.array([scripts[k].tolist()], pa.list_(pa.float64()))})
+                table += np.bincount(slot, minlength=SLOTS)
+                scripts += np.bincount(script[script >= 0], weights=letters[script >= 0], minlength=len(SCRIPT_NAMES))
+        yield from told()
 
     counts = sample.mapInArrow(count, "k int, slot array<int>, n array<double>, scripts array<double>")
     table, scripts = np.zeros((len(names), SLOTS)), np.zeros((len(names), len(SCRIPT_NAMES)))
@@ -239,7 +257,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     require(docs, text_col)
     docs = docs.drop("lang_pred", "score", "spans")
     names = list(docs.columns)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_LANGUAGES tables of SLOTS numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS numbers a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))

@@ -335,7 +335,8 @@ def test_scripts_narrow_the_candidates(spark):
 def test_quality_keeps_clean_documents_and_rejects_junk(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", F.col("quality").alias("good"))
-    rows = quality.score(docs, quality.train(docs)).join(labels, "doc_id").select("good", "keep").collect()
+    rows = queries.op5_quality(spark, "/root/testdata/sf0.01").join(labels, "doc_id").select("good", "keep").collect()
+    assert rows and quality.score(docs, quality.train(docs)).filter("keep").count() == queries.op5_quality(spark, "/root/testdata/sf0.01").filter("keep").count()
     assert np.mean([r.keep for r in rows if r.good == 1]) > 0.99 and np.mean([r.keep for r in rows if r.good == 0]) < 0.05
 
 
@@ -367,6 +368,31 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <footer>&copy; x</footer></body></html>"""
 
 
+def test_marks_that_are_none():
+    """Attribute values, looks of paragraphs and formulas don't take text out of an article; what is hidden or an advert goes."""
+    page = """<article><p title="a hidden gem">One</p><p class="ad-hoc">two</p><p class="lead notice">three</p><math><mi>x</mi></math><p hidden>no</p><p data-x='1' HIDDEN>no</p>
+    <p class="ad">no</p><div class="ad-slot">no</div><div class="notice">no</div><h2 class="header">four</h2><p aria-hidden="true">no</p></article>"""
+    assert " ".join(t for k, t in html.blocks(page) if k == html.ARTICLE) == "One two three x four"
+
+
+def test_a_teaser_does_not_decide_a_page(spark):
+    body = " ".join(f"word{i}" for i in range(400))
+    rows = [(1, "http://a/1", f"<body><article><p>Read this too</p></article><div><p>{body}</p></div></body>"), (2, "http://a/2", f"<body><article><p>Short news</p></article><p>Imprint of this site</p></body>")]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert body in got[1] and got[2] == "Short news"
+
+
+def test_more_languages_than_a_worker_holds(spark):
+    """Each of 300 languages has words of its own and is learned."""
+    rng = random.Random(1)
+    tongues = {f"l{k:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(6)] for k in range(300)}
+    rows = [(i, lang, " ".join(rng.choices(own, k=30))) for i, (lang, own) in enumerate([*tongues.items()] * 2)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id bigint, lang string, text string").repartition(2))
+    assert len(model.languages) == 300
+    labels = model.label([" ".join(own * 3) for own in list(tongues.values())[:40]])
+    assert np.mean([label[0] == lang for label, lang in zip(labels, tongues, strict=False)]) > 0.9
+
+
 def test_article_blocks():
     assert " ".join(t for k, t in html.blocks(PAGE) if k == html.ARTICLE) == "Head & line One boldword two three Four five a b"
     for odd in ("", "<", "<p", "text", "<article>x", "</p></article>", "<!-- <p>", "<script>", "<p a='", "<article><p>a</p></article><article>b"):

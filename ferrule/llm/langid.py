@@ -205,7 +205,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     def below(bounds: dict[str, int]) -> DataFrame:
         """The rows whose hash is at most their language's bound."""
         limits = spark.createDataFrame(list(bounds.items()), "lang string, bound bigint")
-        return keyed.join(limits, "lang").filter("h <= bound").drop("bound")
+        # a row per language, as the model has a table per language: texts aren't shuffled for it
+        return keyed.join(F.broadcast(limits), "lang").filter("h <= bound").drop("bound")
 
     # hashes spread evenly, so that about twice the sample lies below this; then few rows a language are ranked, however many it has
     near = {n: min(2**63 - 1, -(2**63) + (2**64 * 2 * SAMPLE) // c) if c > 2 * SAMPLE else 2**63 - 1 for n, c in number.items()}

@@ -44,12 +44,18 @@ def _segments(x: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return mean * math.sqrt(d // parts), spread
 
 
+#: Share of a block's pairs from which a product of whole blocks costs less than gathering the pairs.
+DENSE = 0.125
+
+
 def search_block(queries: np.ndarray, query_ids: np.ndarray, base: np.ndarray, base_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k largest inner products of each query with rows of other ids, ties to the smaller id: (query row, base row, score).
 
     The inner product of two segments is at most the product of the scaled means plus that of the deviations' norms, so the
     squared distance has a lower bound from the same figures.  Bounds over 1, then 4, then 16 segments leave ever fewer pairs,
-    each kept while its bound reaches the k-th best score known; exact products are computed for the survivors.
+    a finer one being computed only for those that the coarser left; after each the exact scores of its most promising rows
+    raise the k-th best score known, which a pair's bound must reach.  Exact products are computed for the survivors.  Where a
+    bound leaves most pairs of a block, the next step is one product of blocks.
     """
     d = queries.shape[1]
     levels = [p for p in (1, 4, 16) if p <= d]
@@ -59,37 +65,49 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, base: np.ndarray, b
     exact_floats = d * np.abs(q).max(initial=0) * np.abs(b).max(initial=0) < 2**53
     slack = 1e-9 * np.sqrt((q**2).sum(1)).max(initial=0) * np.sqrt((b**2).sum(1)).max(initial=0) + 1e-9
 
-    def exact(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-        if exact_floats:
-            parts = [np.einsum("ij,ij->i", q[rows[i : i + PAIRS]], b[cols[i : i + PAIRS]]).astype(np.int64) for i in range(0, len(rows), PAIRS)]
-            return np.concatenate(parts or [np.zeros(0, np.int64)])
+    def pairs(left: np.ndarray, right: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+        parts = [np.einsum("ij,ij->i", left[rows[i : i + PAIRS]], right[cols[i : i + PAIRS]]) for i in range(0, len(rows), PAIRS)]
+        return np.concatenate(parts or [np.zeros(0)])
+
+    def products(left: np.ndarray, right: np.ndarray, alive: np.ndarray) -> np.ndarray:
+        """Inner products of the pairs that are alive, minus infinity for the others."""
+        if alive.mean() > DENSE:
+            return np.where(alive, left @ right.T, -np.inf)
+        out = np.full(alive.shape, -np.inf)
+        rows, cols = np.nonzero(alive)
+        out[rows, cols] = pairs(left, right, rows, cols)
+        return out
+
+    def whole(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
         return np.array([sum(int(x) * int(y) for x, y in zip(q[r], b[c], strict=True)) for r, c in zip(rows, cols, strict=True)], dtype=object)
 
     stats = [[np.hstack(_segments(x, p)) for x in (q, b)] for p in levels]
     out_q, out_b, out_s = [], [], []
-    for start in range(0, len(q), 128):
+    for start in range(0, len(q) if len(b) else 0, 128):
         own = np.arange(start, min(start + 128, len(q)))
-        bound = stats[0][0][own] @ stats[0][1].T
-        bound[query_ids[own][:, None] == base_ids[None, :]] = -np.inf
-        # a first k-th best score: exact products of the rows with the largest bounds of the finest level
-        fine = stats[-1][0][own] @ stats[-1][1].T if len(levels) > 1 else bound
-        known = min(len(b), 4 * k)
-        seed = np.argpartition(-np.where(np.isinf(bound), -np.inf, fine), known - 1, axis=1)[:, :known] if len(b) else np.zeros((len(own), 0), int)
-        rows = np.repeat(np.arange(len(own)), seed.shape[1])
-        cols = seed.ravel()
-        free = ~np.isinf(bound[rows, cols])
-        scores = np.full(len(rows), -np.inf)
-        if free.any():
-            scores[free] = exact(own[rows[free]], cols[free]).astype(float)
-        scores = np.sort(scores.reshape(len(own), -1), axis=1)
-        least = scores[:, -k] if scores.shape[1] >= k else np.full(len(own), -np.inf)
-        rows, cols = np.nonzero((bound >= (least - slack)[:, None]) & ~np.isinf(bound))
-        for level in range(1, len(levels)):
-            best = fine[rows, cols] if level == len(levels) - 1 else np.concatenate([np.einsum("ij,ij->i", stats[level][0][own[rows[i : i + PAIRS]]], stats[level][1][cols[i : i + PAIRS]]) for i in range(0, len(rows), PAIRS)] or [np.zeros(0)])
-            stay = best >= least[rows] - slack
-            rows, cols = rows[stay], cols[stay]
-        scores = exact(own[rows], cols)
-        order = np.lexsort((base_ids[cols], -scores.astype(object) if scores.dtype == object else -scores, rows))
+        alive = query_ids[own][:, None] != base_ids[None, :]
+        least = np.full(len(own), -np.inf)
+        for left, right in stats:
+            bound = products(left[own], right, alive)
+            # floats that are near enough: the slack covers their rounding
+            known = min(len(b), 4 * k)
+            seed = np.argpartition(-bound, known - 1, axis=1)[:, :known]
+            rows, cols = np.repeat(np.arange(len(own)), known), seed.ravel()
+            scores = np.where(alive[rows, cols], pairs(q[own], b, rows, cols), -np.inf).reshape(len(own), known)
+            if known >= k:
+                least = np.maximum(least, np.sort(scores, axis=1)[:, -k])
+            alive &= bound >= (least - slack)[:, None]
+        if exact_floats:
+            exact = products(q[own], b, alive)
+            if len(b) > k:
+                # all that reach the k-th score, ties included
+                alive &= exact >= -np.partition(-exact, k - 1, axis=1)[:, k - 1 : k]
+            rows, cols = np.nonzero(alive)
+            scores = exact[rows, cols].astype(np.int64)
+        else:
+            rows, cols = np.nonzero(alive)
+            scores = whole(own[rows], cols)
+        order = np.lexsort((base_ids[cols], -scores, rows))
         rows, cols, scores = rows[order], cols[order], scores[order]
         first = np.searchsorted(rows, np.arange(len(own)))
         rank = np.arange(len(rows)) - first[rows]

@@ -17,8 +17,10 @@ def test_against_sql(name, spark, data, duck):
     same_rows(queries.QUERIES[name](spark, data), duck.sql(queries.ORACLE_SQL[name]))
 
 
+@pytest.mark.parametrize("dense", [0, 0.125, 1])
 @pytest.mark.parametrize("seed", range(6))
-def test_search_block_is_exact(seed):
+def test_search_block_is_exact(seed, dense, monkeypatch):
+    monkeypatch.setattr(vectors, "DENSE", dense)
     rng = np.random.default_rng(seed)
     d = int(rng.choice([1, 3, 16, 33, 64]))
     base = np.floor(rng.normal(size=(int(rng.integers(1, 400)), d)) * rng.choice([1, 30, 1e9]))

@@ -7,11 +7,12 @@ differs from a null one (set to null).  seq orders all changes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import Refused
+from ..functions import dialect
 
 
 def schema(row: T.StructType) -> T.StructType:
@@ -222,3 +223,57 @@ def capture(old: Column, new: Column, names: list[str], key: list[str], mode: st
 def in_scope(changes: DataFrame, tables: set[str], added: set[str] = frozenset()) -> DataFrame:
     """The changes of the tables in scope; added ones extend it without touching the base set."""
     return changes.filter(F.col("table").isin(*sorted({*tables, *added})))
+
+
+#: Positions of a log that are numbered by one task at least, and the most such pieces.
+PIECE, MOST_PIECES = 1 << 16, 100_000
+
+
+def transaction_batches(changes: DataFrame, rows: int) -> DataFrame:
+    """changes with batch: whole transactions, each ended by its commit (op C), in batches of `rows` rows besides the last transaction's.
+
+    A transaction belongs to the batch in which its first row lies.  Rows behind the last commit have no batch yet (null): their
+    transaction is not over.  The log is numbered piece by piece, by ranges of seq, and what lies before a piece is a sum over
+    at most MOST_PIECES rows, so that no task sees the whole log.
+    """
+    if rows < 1:
+        raise Refused("a batch holds at least one row")
+    sub = F.col("sub") if "sub" in changes.columns else F.lit(0)
+    ends = changes.agg(F.min("seq").alias("low"), F.max("seq").alias("high"), F.max(F.when(F.col("op") == "C", F.col("seq"))).alias("end")).first()
+    if ends["end"] is None:
+        return changes.withColumn("batch", F.lit(None).cast("bigint"))
+    width = max(PIECE, (ends["high"] - ends["low"]) // MOST_PIECES + 1)
+    done = changes.withColumn("_piece", F.expr(f"(seq - {ends['low']}) div {width}"))
+    inside = Window.partitionBy("_piece").orderBy(F.col("seq"), sub)
+    numbered = done.withColumn("_n", F.row_number().over(inside))
+    last_commit = F.max(F.when(F.col("op") == "C", F.col("_n")))
+    sizes = numbered.groupBy("_piece").agg(F.max("_n").alias("_size"), last_commit.alias("_commit"))
+    earlier = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+    # the place of the last commit before a piece
+    sizes = sizes.withColumn("_carry", F.coalesce(F.max(F.col("_before") + F.col("_commit")).over(earlier), F.lit(0))).select("_piece", "_before", "_carry")
+    previous = last_commit.over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    start = F.coalesce(F.col("_before") + F.col("_previous"), F.col("_carry"))
+    placed = numbered.withColumn("_previous", previous).join(F.broadcast(sizes), "_piece")
+    return placed.withColumn("batch", F.when(F.col("seq") <= ends["end"], F.floor(start / rows).cast("bigint"))).drop("_piece", "_n", "_previous", "_before", "_carry")
+
+
+def add_column(base: DataFrame, name: str, kind: str, default: str | None = None, source: str = "postgres", mode: str = "forward") -> DataFrame:
+    """The table after ADD COLUMN on its source; every row gets the default.
+
+    Refused are: mode "refuse", a default that may give another value for each row or at another time, and a column that is there
+    with another type.  One that is there with this type has been forwarded before and stays.
+    """
+    if mode not in ("forward", "refuse"):
+        raise Refused(f"unknown mode {mode}")
+    if mode == "refuse":
+        raise Refused(f"changes of the schema are refused: column {name}")
+    there = {c.lower(): f for c, f in zip(base.columns, base.schema.fields, strict=True)}
+    if found := there.get(name.lower()):
+        if found.dataType != base.select(F.lit(None).cast(kind).alias("c")).schema["c"].dataType:
+            raise Refused(f"column {name} is there with type {found.dataType.simpleString()}")
+        return base
+    if default is not None and dialect.is_volatile(default):
+        raise Refused(f"the default of {name} may give another value each time: {default}")
+    value = F.lit(None) if default is None else F.expr(dialect.translate(default, source))
+    return base.withColumn(name, value.cast(kind))

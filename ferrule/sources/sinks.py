@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..catalog import Table
 from ..errors import Refused
 from ..operators import changes as changes_ops
+from ..operators.chunks import next_bound
 from ..types import exact
 
 
@@ -79,6 +80,98 @@ def replace(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path, compression="zstd")
 
 
+def rows_per_statement(row_bytes: float, columns: int, target: int = 1 << 20, most_parameters: int = 60_000) -> int:
+    """How many rows one INSERT takes: about 1 MiB of values and at most 60,000 bound parameters."""
+    return max(1, min(int(target / max(row_bytes, 1.0)), most_parameters // max(columns, 1)))
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, row_bytes: float = 256.0, parallel: int = 8, truncate: bool = False, **options: str) -> None:
+    """Appends to a table of a database, or replaces its rows, with at most `parallel` connections and batched INSERTs."""
+    if parallel < 1:
+        raise Refused("at least one connection")
+    w = df.coalesce(parallel).write.mode("overwrite" if truncate else "append")
+    for k, v in {"batchsize": str(rows_per_statement(row_bytes, len(df.columns))), "truncate": str(truncate).lower(), **options}.items():
+        w = w.option(k, v)
+    w.jdbc(url, table)
+
+
+def copy_pages(df: DataFrame, key: str, rows: int, path: str, most_pages: int | None = None) -> int:
+    """Copies a table in pages by an integer or text key, unique and without nulls; returns how many pages were written now.
+
+    Behind each page its last key is stored, and a copy that was broken off goes on behind the last stored one: a page without
+    its mark is written again.  Stored keys are only trusted for the same key and columns.
+    """
+    if df.schema[key].dataType.typeName() not in ("byte", "short", "integer", "long", "string"):
+        raise Refused(f"a {df.schema[key].dataType.simpleString()} is no key to go on from")
+    spark, shape = df.sparkSession, {"key": key, "columns": df.schema.simpleString()}
+    mark = lambda k: f"{path}/page-{k:08d}.json"
+    n, cursor, written = 0, None, 0
+    while exists(spark, mark(n + 1)):
+        n += 1
+    if n:
+        stored = json.loads(read_text(spark, mark(n)))
+        if {k: stored[k] for k in shape} != shape:
+            raise Refused(f"{path} was begun with another key or other columns")
+        cursor = stored["cursor"]
+    while most_pages is None or written < most_pages:
+        bound = next_bound(df, key, cursor, rows)
+        if bound is None:
+            break
+        part = df.filter(F.col(key) <= F.lit(bound)) if cursor is None else df.filter((F.col(key) > F.lit(cursor)) & (F.col(key) <= F.lit(bound)))
+        replace(part, f"{path}/rows/page={n + 1}")
+        write_text(spark, mark(n + 1), json.dumps({**shape, "cursor": bound}))
+        n, cursor, written = n + 1, bound, written + 1
+    return written
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/rows").drop("page")
+
+
+def rollover(changes: DataFrame, path: str, rows: int) -> DataFrame:
+    """Writes the finished transactions of a log as generations of about `rows` changes: (generation, first_seq, last_seq, rows), a row each."""
+    done = changes_ops.transaction_batches(changes, rows).filter("batch IS NOT NULL").withColumnRenamed("batch", "generation")
+    done.repartition("generation").write.mode("errorifexists").partitionBy("generation").option("ignoreNullFields", "false").json(path, compression="gzip")
+    written = changes.sparkSession.read.schema(done.select("seq", "generation").schema).json(path)
+    return written.groupBy("generation").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("rows"))
+
+
+class MaterialisedView:
+    """The stored rows of a query.  A refresh writes a new version and switches to it by one small file; the one before stays for its readers."""
+
+    def __init__(self, spark: SparkSession, path: str, key: tuple[str, ...] = ()):
+        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+
+    def _version(self) -> int:
+        n = 0
+        while exists(self.spark, f"{self.path}/current-{n + 1:08d}.json"):
+            n += 1
+        return n
+
+    def read(self) -> DataFrame:
+        n = self._version()
+        if not n:
+            raise Refused(f"{self.path} was never refreshed")
+        return self.spark.read.parquet(f"{self.path}/v-{n:08d}")
+
+    def refresh(self, rows: DataFrame, concurrently: bool = False) -> int:
+        """Returns the new version.  Concurrent refreshes need a key that is there, unique and never null in what was written."""
+        if concurrently and not self.key:
+            raise Refused("a concurrent refresh needs a unique key")
+        n = self._version() + 1
+        replace(rows, f"{self.path}/v-{n:08d}")
+        if self.key:
+            new = self.spark.read.parquet(f"{self.path}/v-{n:08d}")
+            bad = new.groupBy(*self.key).count().filter(" OR ".join(["count > 1", *[f"`{k}` IS NULL" for k in self.key]]))
+            if not bad.isEmpty():
+                raise Refused(f"{', '.join(self.key)} does not tell the rows of {self.path} apart")
+        write_text(self.spark, f"{self.path}/current-{n:08d}.json", json.dumps({"version": n}))
+        if n > 2:
+            old, fs = _path(self.spark, f"{self.path}/v-{n - 2:08d}")
+            fs.delete(old, True)
+        return n
+
+
 def rows_per_file(df_row_bytes: float, target: int = 128 << 20) -> int:
     """How many rows of a size make a file of the target size."""
     return max(1, int(target / max(df_row_bytes, 1.0)))

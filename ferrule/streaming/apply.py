@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import math
+from collections import deque
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,42 +27,78 @@ class Target:
             raise Refused("a target needs a key")
         self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
 
-    def _commits(self) -> tuple[int, int]:
-        """(number of commits, last batch)."""
-        n, batch = 0, -1
+    def _commits(self) -> tuple[int, dict]:
+        """(number of commits, the last one)."""
+        n = 0
         while sinks.exists(self.spark, f"{self.path}/commit-{n + 1:08d}.json"):
             n += 1
-        if n:
-            batch = json.loads(sinks.read_text(self.spark, f"{self.path}/commit-{n:08d}.json"))["batch"]
-        return n, batch
+        return n, json.loads(sinks.read_text(self.spark, f"{self.path}/commit-{n:08d}.json")) if n else {"batch": -1}
 
     def read(self) -> DataFrame:
-        n, _ = self._commits()
-        if not n:
+        return self._table(self._commits()[1])
+
+    def _table(self, commit: dict) -> DataFrame:
+        if "version" not in commit:
             return self.spark.createDataFrame([], self.schema)
-        version = json.loads(sinks.read_text(self.spark, f"{self.path}/commit-{n:08d}.json"))["version"]
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{version}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{commit['version']}")
+
+    def apply(self, changes: DataFrame, batch: int, transactions: bool = False) -> bool:
+        """Applies a batch once; False if it had been.
 
-    def apply(self, changes: DataFrame, batch: int) -> bool:
-        """Applies a batch once; False if it had been."""
+        With transactions, only what a commit (op C) ends is applied; rows behind the last commit are kept beside the version and
+        come before the next batch, so that the table never shows a part of a transaction that the batches split.
+        """
         n, last = self._commits()
-        if batch <= last:
+        if batch <= last["batch"]:
             return False
-        version = f"v-{n + 1:08d}"
-        ops.apply(self.read(), changes, self.key).write.mode("overwrite").parquet(f"{self.path}/{version}", compression="zstd")
-        sinks.write_text(self.spark, f"{self.path}/commit-{n + 1:08d}.json", json.dumps({"batch": batch, "version": version}))
+        commit = {"batch": batch, "version": f"v-{n + 1:08d}"}
+        if transactions:
+            if "pending" in last:
+                changes = self.spark.read.schema(changes.schema).parquet(f"{self.path}/{last['pending']}").unionByName(changes)
+            end = changes.filter("op = 'C'").agg(F.max("seq")).first()[0]
+            done = F.lit(False) if end is None else F.col("seq") <= end
+            commit["pending"] = f"pending-{n + 1:08d}"
+            changes.filter(~done).write.mode("overwrite").parquet(f"{self.path}/{commit['pending']}", compression="zstd")
+            changes = changes.filter(done & (F.col("op") != "C"))
+        ops.apply(self._table(last), changes, self.key).write.mode("overwrite").parquet(f"{self.path}/{commit['version']}", compression="zstd")
+        sinks.write_text(self.spark, f"{self.path}/commit-{n + 1:08d}.json", json.dumps(commit))
         return True
 
 
-def start(changes: DataFrame, target: Target, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None, **trigger):
-    """Applies a streaming table of changes batch by batch; a transaction must not be split over files."""
+def start(changes: DataFrame, target: Target, checkpoint: str, transform: Callable[[DataFrame], DataFrame] | None = None, transactions: bool = False, **trigger):
+    """Applies a streaming table of changes batch by batch; with transactions, each becomes visible when its commit has come."""
     def one(batch: DataFrame, number: int) -> None:
-        target.apply(transform(batch) if transform else batch, number)
+        target.apply(transform(batch) if transform else batch, number, transactions)
 
     writer = changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+class Pace:
+    """The size of the next batch, by the 95th percentile of the latest batches' seconds: a step more below the target, half above it."""
+
+    def __init__(self, target: float, least: int = 100, most: int = 1_000_000, step: int = 1000, window: int = 50):
+        if not 0 < least <= most or step < 1 or window < 1:
+            raise Refused("no such pace")
+        self.target, self.least, self.most, self.step, self.size = target, least, most, step, least
+        self.seconds: deque[float] = deque(maxlen=window)
+
+    def percentile(self, p: float = 0.95) -> float | None:
+        """By nearest rank; None before the first batch."""
+        known = sorted(self.seconds)
+        return known[max(0, math.ceil(p * len(known)) - 1)] if known else None
+
+    def observe(self, seconds: float) -> int:
+        """Takes a batch's seconds (a negative time is a clock's jump and counts as none) and gives the next size."""
+        self.seconds.append(max(0.0, seconds))
+        if self.percentile() > self.target:
+            self.size = max(self.least, self.size // 2)
+            self.seconds.clear()  # times of larger batches say nothing about smaller ones
+        else:
+            self.size = min(self.most, self.size + self.step)
+        return self.size
+
+
 class Frontier:
     """Which numbers of a log may be consumed: the run without a hole behind the last one.
 

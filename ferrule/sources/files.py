@@ -7,7 +7,7 @@ record.  Whatever is malformed is an error that names the file and the record.
 from __future__ import annotations
 
 import codecs
-import io
+import itertools
 import json
 import re
 from collections.abc import Iterable, Iterator
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import Refused
+from .paths import open_path
 
 FIELD_LIMIT = 64 << 20
 #: First bytes of files that are something else (fixed signatures).
@@ -149,21 +150,44 @@ def csv_value(field: str, quoted: bool, null: str | None, where: str) -> str | N
 
 def _texts(blob: bytes) -> Iterator[str]:
     blob = check_text(blob)
-    reader = codecs.getreader("utf-8")(io.BytesIO(blob), errors="strict")
+    return _decoded(blob[i : i + (1 << 20)] for i in range(0, len(blob), 1 << 20))
+
+
+def _decoded(blocks: Iterable[bytes]) -> Iterator[str]:
+    decoder = codecs.getincrementaldecoder("utf-8")("strict")
     try:
-        while part := reader.read(1 << 20):
-            yield part
+        for block in blocks:
+            yield decoder.decode(block)
+        yield decoder.decode(b"", True)
     except UnicodeDecodeError as e:
         raise Refused(f"not UTF-8: {e.reason}") from None
 
 
+def _beginning(spark: SparkSession, path: str, block: int = 1 << 16) -> Iterator[str]:
+    """The text of a file from its start, block by block as it is asked for: the driver holds no more than its first record."""
+    p, fs = open_path(spark, path)
+    stream = fs.open(p)
+    try:
+        first = bytes(stream.readNBytes(block))
+        rest = iter(lambda: bytes(stream.readNBytes(block)), b"")
+        yield from _decoded(itertools.chain([check_text(first)], map(_sound, rest)))
+    finally:
+        stream.close()
+
+
+def _sound(block: bytes) -> bytes:
+    if b"\0" in block:
+        raise Refused("the text has NUL bytes")
+    return block
+
+
 def read_csv(spark: SparkSession, path: str, header: bool, delimiter: str = ",", null: str | None = None) -> DataFrame:
     """All columns as text.  Every file must have the same columns; each is lexed by one task."""
     files = spark.read.format("binaryFile").load(path)
     if files.isEmpty():
         raise Refused(f"no files at {path}")
-    head = files.select("content").orderBy("path").limit(1).first()["content"]
-    first = next(lex_csv(_texts(head), delimiter), None)
+    head = files.agg(F.min("path")).first()[0]
+    first = next(lex_csv(_beginning(spark, head), delimiter), None)
     if first is None:
         raise Refused("the file is empty")
     names = csv_header(first, header)

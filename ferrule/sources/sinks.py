@@ -13,25 +13,22 @@ from ..errors import Refused
 from ..operators import changes as changes_ops
 from ..operators.chunks import next_bound
 from ..types import exact
-
-
-def _path(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+from .paths import open_path
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    p, fs = _path(spark, path)
+    p, fs = open_path(spark, path)
     return fs.exists(p)
 
 
 def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = False) -> None:
     """Creates a small file in whatever store the path names; without overwrite, an existing one is an error, which makes it a lock."""
-    p, fs = _path(spark, path)
+    p, fs = open_path(spark, path)
     try:
         out = fs.create(p, overwrite)
     except Exception as e:
+        if overwrite or not fs.exists(p):
+            raise
         raise Refused(f"{path} exists already") from e
     out.write(bytearray(text.encode()))
     out.close()
@@ -167,7 +164,7 @@ class MaterialisedView:
                 raise Refused(f"{', '.join(self.key)} does not tell the rows of {self.path} apart")
         write_text(self.spark, f"{self.path}/current-{n:08d}.json", json.dumps({"version": n}))
         if n > 2:
-            old, fs = _path(self.spark, f"{self.path}/v-{n - 2:08d}")
+            old, fs = open_path(self.spark, f"{self.path}/v-{n - 2:08d}")
             fs.delete(old, True)
         return n
 
@@ -234,8 +231,8 @@ def write_samples(samples: DataFrame, path: str) -> None:
 
 def identity_copy(spark: SparkSession, source: str, target: str) -> int:
     """Copies files byte for byte, for a table that nothing transforms; returns how many."""
-    p, fs = _path(spark, source)
-    q, gs = _path(spark, target)
+    p, fs = open_path(spark, source)
+    q, gs = open_path(spark, target)
     gs.mkdirs(q)
     names = [s.getPath() for s in fs.listStatus(p) if s.isFile()]
     for one in names:

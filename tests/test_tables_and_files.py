@@ -271,3 +271,14 @@ def test_metrics(spark):
     assert got["up"] == ({}, 1.0) and got["n"][0]["a"] == "x" and got["inf"][1] == float("inf")
     with pytest.raises(Exception):
         metrics.parse(spark.createDataFrame([("bad line here now",)], "value string")).collect()
+
+
+def test_only_the_first_record_is_read_ahead(spark, tmp_path):
+    # a character over the edge of a block, a byte-order mark, and a header longer than one block
+    name = "n" * 65_529 + "é" * 9
+    path = write(tmp_path, "wide.csv", "﻿" + f"id,{name}\n1,ü\n")
+    df = files.read_csv(spark, path, header=True)
+    assert df.columns == ["id", name] and [tuple(r) for r in df.collect()] == [("1", "ü")]
+    for bad in ("", "a\0b\n", "id\0,x\n"):
+        with pytest.raises(Refused):
+            files.read_csv(spark, write(tmp_path, "bad0.csv", bad), header=True)

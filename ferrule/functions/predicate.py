@@ -412,27 +412,46 @@ class Term:
     literals: tuple[Literal, ...]
     negated: bool
     disjunctive: bool
+    hazards: tuple[str, ...] = ()
 
 
-def terms(tree, negated: bool = False, disjunctive: bool = False) -> list[Term]:
-    """The comparisons of a predicate in order, each with whether a NOT or an OR stands above it."""
+def hazards(tree: Compare, col: Col | None) -> tuple[str, ...]:
+    """Why a source may take the literals of a comparison otherwise than to_column does."""
+    found = set()
+    if col is None:
+        return ("unknown column",)
+    for lit in tree.literals:
+        if isinstance(col.type, T.BooleanType) and lit.kind == "number":
+            found.add("number for a boolean")
+        if isinstance(col.type, (T.DateType, T.TimestampType, T.TimestampNTZType)) and lit.kind == "string" and (m := _STAMP.match(str(lit.value).strip())):
+            if m[4] is not None:
+                found.add("time of day")
+            if len(m[7] or "") > 6:
+                found.add("finer than microseconds")
+            if (isinstance(col.type, T.DateType) and m[4] is not None) or len((m[7] or "").rstrip("0")) > col.digits:
+                found.add("rounded to its column")
+    return tuple(sorted(found))
+
+
+def terms(tree, columns: dict[str, Col] | None = None, negated: bool = False, disjunctive: bool = False) -> list[Term]:
+    """The comparisons of a predicate in order, each with whether a NOT or an OR stands above it and, with columns, its hazards."""
     if isinstance(tree, str):
         tree = parse(tree)
     if isinstance(tree, Not):
-        return terms(tree.part, not negated, disjunctive)
+        return terms(tree.part, columns, not negated, disjunctive)
     if isinstance(tree, (And, Or)):
         either = isinstance(tree, Or) != negated
-        return [t for p in tree.parts for t in terms(p, negated, disjunctive or either)]
-    return [Term(tree.column, tree.op, tree.literals, negated, disjunctive)]
+        return [t for p in tree.parts for t in terms(p, columns, negated, disjunctive or either)]
+    return [Term(tree.column, tree.op, tree.literals, negated, disjunctive, hazards(tree, columns.get(tree.column)) if columns is not None else ())]
 
 
 def push_down(tree, columns: dict[str, Col]) -> tuple[bool, list[str]]:
     """Whether a source may evaluate the predicate itself, and why not: only types and comparisons known to mean the same everywhere."""
     why = []
-    for t in terms(tree):
+    for t in terms(tree, columns):
         col = columns.get(t.column)
-        if col is None:
-            why.append(f"{t.column}: unknown column")
+        if t.hazards:
+            why.append(f"{t.column} {t.op}: {', '.join(t.hazards)}")
         elif t.op in ("IS NULL", "IS NOT NULL"):
             continue
         elif isinstance(col.type, (T.IntegralType, T.BooleanType, T.DecimalType)):
@@ -454,4 +473,4 @@ def check_drift(stored: str | None, filters: dict[str, str]) -> None:
         raise Refused("the row filters differ from those this stream was started with")
 
 
-__all__ = ["COLLATIONS", "Col", "Rules", "check_drift", "check_filters", "columns_of", "fingerprint", "network", "parse", "push_down", "temporal", "terms", "to_column", "where"]
+__all__ = ["COLLATIONS", "Col", "Rules", "check_drift", "check_filters", "columns_of", "fingerprint", "hazards", "network", "parse", "push_down", "temporal", "terms", "to_column", "where"]

@@ -8,10 +8,11 @@ key - in counter mode: the same row gets the same value in every run, and no sta
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -379,6 +380,11 @@ def dictionary(entries: list[str]) -> list[str]:
     return found
 
 
+def dictionary_file(spark: SparkSession, path: str) -> list[str]:
+    """The entries of a dictionary from a file, one a line, in the order of the lines; the whole list becomes a constant of the plan."""
+    return dictionary(spark.read.text(path, wholetext=True).first()["value"].splitlines())
+
+
 def _entry(hex_hash: Column, entries: list[str]) -> Column:
     """The entry at the hash's first eight bytes, little endian, modulo the number of entries."""
     swapped = F.concat(*[F.substring(hex_hash, 15 - 2 * i, 2) for i in range(8)])
@@ -421,6 +427,24 @@ class Keyset:
                 raise Refused(f"line {number} of the keyset is not name:generation:hex, or repeats one") from None
         return out
 
+    @classmethod
+    def load(cls, spark: SparkSession, source: str) -> Keyset:
+        """A keyset from `file:` and a path, `env:` and a variable, or `table:` and a table of (name, generation, key in hexadecimal)."""
+        scheme, _, where = source.partition(":")
+        if scheme not in ("file", "env", "table") or not where:
+            raise Refused("a keyset comes from file:, env: or table: and a name")
+        if scheme == "env":
+            text = os.environ.get(where, "")
+        elif scheme == "file":
+            text = spark.read.text(where, wholetext=True).first()["value"]
+        else:
+            rows = spark.table(where).select("name", "generation", "key").collect()  # one row per key
+            text = "\n".join(f"{r['name']}:{r['generation']}:{r['key']}" for r in rows)
+        found = cls.read(text)
+        if not found.keys:
+            raise Refused(f"the keyset of {source} is empty")
+        return found
+
     def get(self, name: str, generation: int | None = None) -> bytes:
         found = self.keys.get(name)
         if not found or (generation is not None and generation not in found):

@@ -491,6 +491,7 @@ _redact("r21_randomize_ssn", "randomize:ssn", f"lpad(({_draw(0, 898)} + 1 + CASE
 _redact("r22_randomize_pan", "randomize:pan:mastercard", None)
 ORACLE_SQL["r22_randomize_pan"] = f"WITH s AS (SELECT c_custkey AS id, sha256('|t|v|id=' || c_custkey) AS seed FROM customer), q AS (SELECT id, '5' || left(lpad({_draw(0, 10**12)}::VARCHAR, 12, '0') || lpad({_draw(1, 10**12)}::VARCHAR, 12, '0'), 14) AS p FROM s), w AS (SELECT id, p, list_sum(list_transform(range(1, 16), lambda i: CASE WHEN i % 2 = 1 THEN CASE WHEN substr(p, (16 - i)::INTEGER, 1)::INTEGER * 2 > 9 THEN substr(p, (16 - i)::INTEGER, 1)::INTEGER * 2 - 9 ELSE substr(p, (16 - i)::INTEGER, 1)::INTEGER * 2 END ELSE substr(p, (16 - i)::INTEGER, 1)::INTEGER END)) AS t FROM q) SELECT id, p || ((10 - t % 10) % 10)::VARCHAR AS v FROM w"
 _redact("r23_randomize_ca_sin", "randomize:ca-sin", None)
+ORACLE_SQL["r23_randomize_ca_sin"] = f"WITH s AS (SELECT c_custkey AS id, sha256('|t|v|id=' || c_custkey) AS seed FROM customer), q AS (SELECT id, substr('12345679', ({_draw(9, 8)} + 1)::INTEGER, 1) || left(lpad({_draw(0, 10**12)}::VARCHAR, 12, '0'), 7) AS p FROM s), w AS (SELECT id, p, list_sum(list_transform(range(1, 9), lambda i: CASE WHEN i % 2 = 0 THEN substr(p, i::INTEGER, 1)::INTEGER * 2 // 10 + substr(p, i::INTEGER, 1)::INTEGER * 2 % 10 ELSE substr(p, i::INTEGER, 1)::INTEGER END)) AS t FROM q) SELECT id, p || ((10 - t % 10) % 10)::VARCHAR AS v FROM w"
 _redact("r24_randomize_uk_nin", "randomize:uk-nin", f"substr('ABCEGHJKLMNOPRSTWXYZ', ({_draw(7, 20)} + 1)::INTEGER, 1) || substr('ABCEGHJKLMNPRSTWXYZ', ({_draw(8, 19)} + 1)::INTEGER, 1) || left(lpad({_draw(0, 10**12)}::VARCHAR, 12, '0'), 6) || substr('ABCD', ({_draw(9, 4)} + 1)::INTEGER, 1)")
 ORACLE_SQL["r25_randomize_iban"] = f"WITH s AS (SELECT c_custkey AS id, sha256('|t|v|id=' || c_custkey) AS seed FROM customer), q AS (SELECT id, left(lpad({_draw(0, 10**12)}::VARCHAR, 12, '0') || lpad({_draw(1, 10**12)}::VARCHAR, 12, '0'), 18) AS b FROM s) SELECT id, 'DE' || lpad((98 - (b || '131400')::HUGEINT % 97)::VARCHAR, 2, '0') || b AS v FROM q"
 _redact("r25_randomize_iban", "randomize:iban:DE", None)
@@ -739,12 +740,18 @@ def t3(spark, d):
     return target.read()
 
 
-@query("t6_gap_free", "SELECT event_id FROM events WHERE event_id BETWEEN 1 AND 149 AND event_id NOT IN (50, 150)")
+@query("t6_gap_free", """WITH h AS (SELECT min(event_id) AS lo, max(event_id) AS hi, lo + (hi - lo) // 3 AS a, hi - (hi - lo) // 10 AS b FROM events)
+    SELECT event_id, CASE WHEN event_id < a THEN 0 WHEN event_id < b THEN 1 ELSE 2 END::INTEGER AS take FROM events, h WHERE event_id NOT IN (a, b)""")
 def t6(spark, d):
-    log = load(spark, d, "events").filter("event_id NOT IN (50, 150)").select("event_id")
-    f = streams.Frontier(0)
-    first = f.take(log, "event_id")
-    return first.unionAll(f.take(log, "event_id", settled=50))
+    """All events but two, taken up to each hole and, once it is settled, on behind it."""
+    e = load(spark, d, "events").select("event_id")
+    low, high = chunks.bounds(e, "event_id")
+    holes = [low + (high - low) // 3, high - (high - low) // 10]
+    log, f, out = e.filter(~F.col("event_id").isin(holes)), streams.Frontier(low - 1), None
+    for i, settled in enumerate((None, *holes)):
+        part = f.take(log, "event_id", settled=settled).withColumn("take", F.lit(i))
+        out = part if out is None else out.unionAll(part)
+    return out
 
 
 # ---------------------------------------------------------------------------

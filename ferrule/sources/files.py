@@ -24,8 +24,11 @@ FIELD_LIMIT = 64 << 20
 SIGNATURES = [
     (b"PGDMP", "a PostgreSQL custom-format dump"), (b"SQLite format 3\0", "an SQLite database"), (b"PAR1", "a Parquet file"), (b"\x1f\x8b", "gzip data"),
     (b"\x28\xb5\x2f\xfd", "zstd data"), (b"PK\x03\x04", "a zip archive"), (b"BZh", "bzip2 data"), (b"\xfd7zXZ\0", "xz data"), (b"Obj\x01", "an Avro file"),
-    (b"ORC", "an ORC file"), (b"\xff\xfe", "UTF-16 text"), (b"\xfe\xff", "UTF-16 text"), (b"\xfebin", "a MySQL binary log"), (b"%PDF", "a PDF"),
+    (b"ORC", "an ORC file"), (b"\xff\xfe", "UTF-16 text"), (b"\xfe\xff", "UTF-16 text"), (b"\0\0\xfe\xff", "UTF-32 text"), (b"\xfebin", "a MySQL binary log"), (b"%PDF", "a PDF"),
+    (b"-- MySQL dump", "a plain dump of MySQL"), (b"-- PostgreSQL database dump", "a plain dump of PostgreSQL"),
 ]
+#: How much of a file is looked at, and a banner that may stand at the start of any line in it.
+HEAD, BANNER = 512, (b"\n-- PostgreSQL database dump", "a plain dump of PostgreSQL")
 
 
 def sniff(head: bytes) -> str | None:
@@ -33,9 +36,22 @@ def sniff(head: bytes) -> str | None:
     for magic, what in SIGNATURES:
         if head.startswith(magic):
             return what
+    if BANNER[0] in head[:HEAD]:
+        return BANNER[1]
     return "a tar archive" if head[257:262] == b"ustar" else None
 
 
+def signatures(spark: SparkSession, path: str) -> DataFrame:
+    """(path, what): what each file at a path is by its first bytes, as `sniff` tells it; null for plain text.  Empty files have no row."""
+    head = F.substring("content", 1, HEAD)
+    what = F.coalesce(
+        *[F.when(F.startswith(head, F.lit(magic)), what) for magic, what in SIGNATURES],
+        F.when(F.contains(head, F.lit(BANNER[0])), BANNER[1]),
+        F.when(F.substring("content", 258, 5) == F.lit(b"ustar"), "a tar archive"),
+    )
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", what.alias("what"))
+
+
 def check_text(head: bytes) -> bytes:
     """The text without a byte-order mark; foreign formats and NUL bytes are refused."""
     if what := sniff(head):

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
+from collections import deque
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import InheritableThread
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,18 +43,21 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 def typed(df: DataFrame, table: Table) -> DataFrame:
     """The table's columns in its exact types; a value that does not fit stops the job."""
-    return df.select(*[exact(F.col(f"`{c.name}`"), c.type).alias(c.name) for c in table.columns if not c.generated])
+    return df.select(*[exact(F.col(f"`{c.name}`"), c.type).alias(c.name, metadata={"kind": c.type.kind, "key": c.name in table.key}) for c in table.columns if not c.generated])
 
 
 def export(spark: SparkSession, tables: dict[str, tuple[DataFrame, Table]], path: str) -> dict:
-    """Every table as zstd Parquet under path, and parquet_index.json last: with it the export is complete, and a second one is refused."""
+    """Every table as zstd Parquet under path, and parquet_index.json last: with it the export is complete, and a second one is refused.
+
+    The footers hold each column's kind; rows are counted while they are written.
+    """
     if exists(spark, f"{path}/parquet_index.json"):
         raise Refused(f"{path} holds a complete export")
     index = {"tables": {}}
     for name, (df, table) in sorted(tables.items()):
-        out = typed(df, table)
-        out.write.mode("overwrite").option("parquet.column.metadata", "true").parquet(f"{path}/{name}", compression="zstd")
-        rows = spark.read.parquet(f"{path}/{name}").count()
+        seen = Observation()
+        typed(df, table).observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{path}/{name}", compression="zstd")
+        rows = seen.get["rows"]
         index["tables"][name] = {"rows": rows, "columns": [{"name": c.name, "kind": c.type.kind, "nullable": c.nullable} for c in table.columns if not c.generated], "key": list(table.key)}
     write_text(spark, f"{path}/parquet_index.json", json.dumps(index, sort_keys=True))
     return index
@@ -121,6 +127,39 @@ def copy_pages(df: DataFrame, key: str, rows: int, path: str, most_pages: int |
     return written
 
 
+def copy_tables(tables: dict[str, DataFrame], path: str, at_once: int = 4) -> dict[str, int]:
+    """Copies tables under path, `at_once` of them side by side, and returns the rows of each.
+
+    The tables share the cluster's tasks by its scheduler.  If one fails, no further one is begun, and its error is raised when
+    those under way have ended; those written stay.
+    """
+    if at_once < 1:
+        raise Refused("at least one table at a time")
+    left, rows, errors = deque(sorted(tables)), {}, []
+
+    def work() -> None:
+        while not errors:
+            try:
+                name = left.popleft()
+            except IndexError:
+                return
+            try:
+                seen = Observation()
+                replace(tables[name].observe(seen, F.count(F.lit(1)).alias("rows")), f"{path}/{name}")
+                rows[name] = seen.get["rows"]
+            except Exception as e:
+                errors.append(e)
+
+    pool = [InheritableThread(target=work) for _ in range(min(at_once, len(tables)))]
+    for t in pool:
+        t.start()
+    for t in pool:
+        t.join()
+    if errors:
+        raise errors[0]
+    return rows
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/rows").drop("page")
 
@@ -182,16 +221,18 @@ def write_chunks(df: DataFrame, path: str, codec: str = "gzip") -> None:
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of the files of a backup, for comparison with its manifest."""
+    """(path below the given one, length, sha256) of the files of a backup, for comparison with its manifest."""
+    p, fs = open_path(spark, path)
+    root = fs.makeQualified(p).toString().rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    return files.select(F.regexp_replace("path", F.lit("^.*?" + re.escape(root.partition(":")[2].lstrip("/"))), F.lit("")).alias("path"), "length", F.sha2("content", 256).alias("sha256"))
 
 
 def verify_backup(spark: SparkSession, path: str, expected: dict[str, str], schema: T.StructType | None = None, depth: str = "hash") -> list[str]:
     """What is wrong with a backup's files: missing, extra, changed, or (depth rows) unreadable."""
     if depth not in ("manifest", "hash", "rows"):
         raise Refused(f"unknown depth {depth}")
-    have = {r["path"].rpartition("/")[2]: r["sha256"] for r in file_digests(spark, path).collect()} if depth != "manifest" else dict.fromkeys(expected)
+    have = {r["path"]: r["sha256"] for r in file_digests(spark, path).collect()} if depth != "manifest" else dict.fromkeys(expected)
     out = [f"missing {n}" for n in sorted(set(expected) - set(have))] + [f"extra {n}" for n in sorted(set(have) - set(expected))]
     if depth != "manifest":
         out += [f"changed {n}" for n in sorted(set(have) & set(expected)) if have[n] != expected[n]]

@@ -140,3 +140,11 @@ def test_places_before_the_first(spark):
         ("mysql", "length('é')", "2"), ("postgres", "length('é')", "1"), ("mysql", "mod(3, 0)", None), ("mysql", "date_format(timestamp '2024-03-05 07:08:09', '%Y-%m-%dT%H:%i, %W')", "2024-03-05T07:08, Tuesday"),
     ]:
         assert spark.sql(f"SELECT cast({translate(text, dialect)} AS string) AS v").first().v == expected, text
+
+
+def test_hazards():
+    columns = {"live": p.Col(T.BooleanType()), "d": p.Col(T.DateType()), "t": p.Col(T.TimestampNTZType()), "id": p.Col(T.LongType())}
+    told = {t.column: t.hazards for t in p.terms("live = 1 AND d > '2024-01-01 12:00' OR t = '2024-01-01 00:00:00.1234567' AND NOT (id = 3)", columns)}
+    assert told == {"live": ("number for a boolean",), "d": ("rounded to its column", "time of day"), "t": ("finer than microseconds", "rounded to its column", "time of day"), "id": ()}
+    assert p.terms("gone = 1", columns)[0].hazards == ("unknown column",) and p.terms("d = '2024-01-01' OR live = TRUE", columns)[0].hazards == ()
+    assert p.push_down("live = 1", columns)[0] is False and p.push_down("live = TRUE AND gone IS NULL", columns) == (False, ["gone IS NULL: unknown column"])

@@ -2,7 +2,7 @@
 
 import pytest
 from conftest import same_rows
-from ferrule.plans import catalogue
+from ferrule.plans import catalogue, contracts  # noqa: F401
 
 
 @pytest.mark.parametrize("name", list(catalogue.QUERIES))

@@ -113,3 +113,19 @@ def test_refusals(spark):
         with pytest.raises(Refused):
             r.Keyset.read(text)
     assert "00ff" not in repr(r.Keyset.read("k:1:00ff"))
+
+
+def test_keys_and_dictionaries_from_outside(spark, tmp_path, monkeypatch):
+    (tmp_path / "k").write_text("a:1:00\na:3:03\n")
+    monkeypatch.setenv("SOME_KEYS", "a:2:02")
+    assert r.Keyset.load(spark, f"file:file://{tmp_path}/k").get("a") == b"\3" and r.Keyset.load(spark, "env:SOME_KEYS").get("a") == b"\2"
+    (tmp_path / "empty").write_text("# none\n")
+    for source in ("env:NOT_SET_ANYWHERE", f"file:file://{tmp_path}/empty", "vault:x", "file:", "a:1:00"):
+        with pytest.raises(Refused):
+            r.Keyset.load(spark, source)
+    assert "00" not in repr(r.Keyset.load(spark, f"file:file://{tmp_path}/k"))
+    (tmp_path / "d").write_text(" x \n\ny\n")
+    assert r.dictionary_file(spark, f"file://{tmp_path}/d") == ["x", "y"]
+    (tmp_path / "blank").write_text("\n \n")
+    with pytest.raises(Refused):
+        r.dictionary_file(spark, f"file://{tmp_path}/blank")

@@ -282,3 +282,33 @@ def test_only_the_first_record_is_read_ahead(spark, tmp_path):
     for bad in ("", "a\0b\n", "id\0,x\n"):
         with pytest.raises(Refused):
             files.read_csv(spark, write(tmp_path, "bad0.csv", bad), header=True)
+
+
+def test_banners_and_signatures(spark, tmp_path):
+    for name, head in (("a", b"-- MySQL dump 10.13\n"), ("b", b"--\n-- PostgreSQL database dump\n--\n"), ("c", b"-- rows\nINSERT"), ("d", b""), ("e", b"\0\0\xfe\xff"), ("f", b"x" * 600 + b"\n-- PostgreSQL database dump"), ("g", b"a" * 257 + b"ustar")):
+        (tmp_path / name).write_bytes(head)
+    told = {r.path.rpartition("/")[2]: r.what for r in files.signatures(spark, f"file://{tmp_path}").collect()}
+    assert told == {"a": "a plain dump of MySQL", "b": "a plain dump of PostgreSQL", "c": None, "e": "UTF-32 text", "f": None, "g": "a tar archive"}
+    assert all(files.sniff((tmp_path / n).read_bytes()) == what for n, what in (told | {"d": None}).items())
+
+
+def test_digests_of_nested_files(spark, tmp_path):
+    for folder in ("x", "y z"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "part").write_text(folder)
+    have = {r.path: r.sha256 for r in sinks.file_digests(spark, f"file://{tmp_path}").collect()}
+    assert set(have) == {"x/part", "y z/part"} and len(set(have.values())) == 2
+    (tmp_path / "x" / "part").write_text("other")
+    (tmp_path / "y z" / "part").unlink()
+    assert sinks.verify_backup(spark, f"file://{tmp_path}", have) == ["missing y z/part", "changed x/part"]
+
+
+def test_copy_tables(spark, tmp_path):
+    good, bad = spark.range(5), spark.range(3).selectExpr("raise_error('broken') AS id")
+    assert sinks.copy_tables({"a": good, "b": spark.range(0), "c": good}, f"file://{tmp_path}/x", at_once=2) == {"a": 5, "b": 0, "c": 5}
+    assert sinks.copy_tables({}, f"file://{tmp_path}/y") == {}
+    with pytest.raises(Exception, match="broken"):
+        sinks.copy_tables({"a": good, "b": bad, "c": good}, f"file://{tmp_path}/z", at_once=1)
+    assert sinks.exists(spark, f"file://{tmp_path}/z/a") and not sinks.exists(spark, f"file://{tmp_path}/z/c")
+    with pytest.raises(Refused):
+        sinks.copy_tables({"a": good}, f"file://{tmp_path}/w", at_once=0)

@@ -99,7 +99,8 @@ def estimate(counts: dict[int, int], rounds: int = 500) -> tuple[np.ndarray, np.
     """Expectation-maximisation over the patterns' counts: the probability that each pattern is good, and bad[class, labeller]: how often a labeller that votes on a document of the class (0 good, 1 bad) votes bad.
 
     Silence says nothing.  It starts from labellers that hardly ever accuse good documents and find a third of the bad ones, and
-    from nine good documents in ten; both rates stay within bounds, so that the classes keep their meaning.
+    from nine good documents in ten.  The rates follow the counts freely, but that a labeller accuses bad documents at least as
+    often as good ones, so that the classes keep their meaning; one imagined vote each keeps rates without votes where they began.
     """
     every = np.arange(PATTERNS)
     v = (every[:, None] // 3 ** np.arange(len(LABELLERS))) % 3
@@ -118,9 +119,7 @@ def estimate(counts: dict[int, int], rounds: int = 500) -> tuple[np.ndarray, np.
         weight = post * number
         yes, no = weight @ says_bad, weight @ says_good
         new = (yes + [[0.001], [0.33]]) / (yes + no + 1)
-        # a labeller accuses few good documents, and sees one of several kinds of badness
-        new[0] = np.minimum(new[0], 0.01)
-        new[1] = np.clip(new[1], 0.1, 0.6)
+        new[1] = np.maximum(new[1], new[0])
         prior = np.clip((weight.sum(axis=1) + [9, 1]) / (number.sum() + 10), 0.01, 0.99)
         if np.abs(new - bad).max() < 1e-9:
             break

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import mix, require, slices
+from .shared import mix, plainly_named, require, slices
 
 #: Labelled documents of each language that the model is fitted on, chosen by a hash of the id.
 SAMPLE = 1500
@@ -257,18 +257,19 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """
     require(docs, text_col)
     docs = docs.drop("lang_pred", "score", "spans")
-    names = list(docs.columns)
+    names, docs, text = list(docs.columns), plainly_named(docs), f"c{docs.columns.index(text_col)}"
+    known = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS numbers a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
-        for batch in slices(batches, text_col):
-            found = shared.value.label(batch.column(text_col).to_pylist())
+        for batch in slices(batches, text):
+            found = shared.value.label(batch.column(text).to_pylist())
             spans = [[{"first": a, "end": b, "lang": n} for a, b, n in s] for _, _, s in found]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array(spans, kind)], names=[*names, "lang_pred", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array(spans, kind)], names=[*known, "lang_pred", "score", "spans"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double, spans array<struct<first:int,end:int,lang:string>>")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double, spans array<struct<first:int,end:int,lang:string>>").toDF(*names, "lang_pred", "score", "spans")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

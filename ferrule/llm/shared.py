@@ -25,6 +25,11 @@ def require(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"missing columns {missing}; have {df.columns}")
 
 
+def plainly_named(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ...: Spark's Arrow functions can't take names with dots or back-ticks."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder that all executors share: spark.checkpoint.dir, set here only where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)

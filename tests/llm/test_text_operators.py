@@ -350,6 +350,34 @@ def test_quality_edge_cases(spark):
     assert quality.score(empty, quality.train(empty)).count() == 0
 
 
+def test_quality_sample_does_not_depend_on_copies(spark, monkeypatch):
+    """The scorer learns from the same texts whether most rows are copies of one (all hashes are looked at) or not (few are)."""
+    monkeypatch.setattr(quality, "SAMPLE", 20)
+    texts = [f"Sentence {i} tells of {i * 7} things." if i % 5 else f"BUY {i}!!! NOW!!! ||| $$$ ###" for i in range(400)]
+    frame = lambda t: spark.createDataFrame([(x,) for x in t], "text string")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y, weight: seen.append(sorted(map(tuple, np.round(x, 5).tolist()))) or np.zeros(quality.SLOTS + 1))
+    quality.train(frame(texts))
+    quality.train(frame(texts + [texts[1]] * 40_000))
+    quality.train(frame(texts[:7]))
+    assert seen[0] == seen[1] and len(seen[0]) == 20 and len(seen[2]) == 7
+
+
+def test_quality_and_language_with_odd_column_names(spark):
+    df = spark.createDataFrame([(1, "Some words of plain English here.", "en", 2)], "doc_id bigint, text string, lang string, `a``b.c` int")
+    assert quality.score(df, quality.train(df)).columns[:4] == df.columns == langid.predict(df, langid.train(df)).columns[:4]
+
+
+def test_em_finds_rates_far_from_where_it_begins():
+    rng = np.random.default_rng(1)
+    bad = rng.random(40_000) < 0.2
+    rates = np.array([[0.05, 0.001, 0.02, 0.1, 0.001, 0.001, 0.03, 0.001, 0.001], [0.95, 0.8, 0.02, 0.3, 0.05, 0.9, 0.5, 0.7, 0.4]])
+    votes = (rng.random((40_000, len(quality.LABELLERS))) < rates[bad.astype(int)]).astype(int)
+    post, found = quality.estimate(collections.Counter(quality.pattern(votes).tolist()))
+    assert np.abs(found - rates).max() < 0.03
+    assert np.mean((post[quality.pattern(votes)] < 0.5) == bad) > 0.99
+
+
 def test_em_finds_accuracies():
     rng = np.random.default_rng(0)
     bad = rng.random(20_000) < 0.15

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, Words, mix, require, slices
+from .shared import SPACE, Words, mix, plainly_named, require, slices
 
 #: Documents that the scorer is trained on, chosen by a hash of the text; and its hashed features.
 SAMPLE, SLOTS = 8000, 2048
@@ -191,8 +191,17 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     if not total:
         return Model(np.zeros(SLOTS + 1), posterior)
     # a hash of the text chooses; equal texts share it, so it is counted per hash
-    hashes = plain.select(F.xxhash64("_text").alias("h")).distinct().orderBy("h").limit(SAMPLE)
-    bound = hashes.agg(F.max("h")).first()[0]
+
+    def smallest(most: int) -> tuple[int, int | None]:
+        """How many of the SAMPLE smallest hashes are at most `most`, and the last of them."""
+        found = plain.select(F.xxhash64("_text").alias("h")).filter(F.col("h") <= F.lit(most)).distinct().orderBy("h").limit(SAMPLE)
+        return found.agg(F.count("*"), F.max("h")).first()
+
+    # hashes spread evenly: few lie below the first limit, unless most texts are copies
+    near, top = -(2**63) + (2**64 * 16 * SAMPLE) // total, 2**63 - 1
+    found, bound = smallest(min(near, top))
+    if found < SAMPLE and near < top:
+        found, bound = smallest(top)
     sample = plain.filter(F.xxhash64("_text") <= F.lit(bound)).dropDuplicates(["_text"])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,19 +231,20 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", least: float =
     """
     require(docs, text_col)
     docs = docs.drop("quality", "posterior", "keep")
-    names = list(docs.columns)
+    names, docs, text = list(docs.columns), plainly_named(docs), f"c{docs.columns.index(text_col)}"
+    known = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS weights and PATTERNS posteriors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, posterior = shared.value.weights, shared.value.posterior
-        for batch in slices(batches, text_col):
-            w = Words(batch.column(text_col).cast(pa.string()), lower=False)
+        for batch in slices(batches, text):
+            w = Words(batch.column(text).cast(pa.string()), lower=False)
             stats = statistics(w)
-            text, slot, value = features(w, stats)
-            sums = np.bincount(text, weights=value * weights[slot], minlength=w.n) + weights[-1]
+            owner, slot, value = features(w, stats)
+            sums = np.bincount(owner, weights=value * weights[slot], minlength=w.n) + weights[-1]
             quality = np.where(w.count > 0, 1 / (1 + np.exp(-np.clip(sums, -30, 30))), 0.0)
             post = np.where(w.count > 0, posterior[pattern(votes(stats, w.count))], 0.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(quality), pa.array(post), pa.array(quality >= least)], names=[*names, "quality", "posterior", "keep"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(quality), pa.array(post), pa.array(quality >= least)], names=[*known, "quality", "posterior", "keep"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, quality double, posterior double, keep boolean")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return docs.mapInArrow(run, f"{schema}, quality double, posterior double, keep boolean").toDF(*names, "quality", "posterior", "keep")

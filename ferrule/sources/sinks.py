@@ -164,10 +164,20 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/rows").drop("page")
 
 
+#: How many changes share a folder of a rolled log, if its generations are smaller.
+FOLDER_ROWS = 1 << 18
+
+
 def rollover(changes: DataFrame, path: str, rows: int) -> DataFrame:
-    """Writes the finished transactions of a log as generations of about `rows` changes: (generation, first_seq, last_seq, rows), a row each."""
+    """Writes the finished transactions of a log as generations of about `rows` changes: (generation, first_seq, last_seq, rows), a row each.
+
+    Small generations share a folder, `_span` being generation div (FOLDER_ROWS // rows), and lie there in the log's order, so that
+    folders and files, which are listed and committed one by one, grow with the log and not with how finely it is cut.
+    """
     done = changes_ops.transaction_batches(changes, rows).filter("batch IS NOT NULL").withColumnRenamed("batch", "generation")
-    done.repartition("generation").write.mode("errorifexists").partitionBy("generation").option("ignoreNullFields", "false").json(path, compression="gzip")
+    spans = done.withColumn("_span", F.expr(f"generation div {max(1, FOLDER_ROWS // rows)}"))
+    order = ["_span", "seq", *(["sub"] if "sub" in changes.columns else [])]
+    spans.repartition("_span").sortWithinPartitions(*order).write.mode("errorifexists").partitionBy("_span").option("ignoreNullFields", "false").json(path, compression="gzip")
     written = changes.sparkSession.read.schema(done.select("seq", "generation").schema).json(path)
     return written.groupBy("generation").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("rows"))
 

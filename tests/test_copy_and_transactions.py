@@ -44,6 +44,22 @@ def test_transactions_without_rows_or_commits(spark):
         c.transaction_batches(spark.createDataFrame([], kind), 0)
 
 
+@pytest.mark.parametrize("folder", [1, 20, 1 << 18])
+def test_small_generations_share_folders(spark, tmp_path, monkeypatch, folder):
+    """However finely a log is cut, a folder takes about as many of its rows as it is said to."""
+    monkeypatch.setattr(sinks, "FOLDER_ROWS", folder, raising=False)
+    log = spark.range(1, 601).select(F.col("id").alias("seq"), F.when(F.col("id") % 3 == 0, "C").otherwise("I").alias("op"), F.lit(None).cast("string").alias("v"))
+    got = sinks.rollover(log, f"file://{tmp_path}/log", 5)
+    first = {}
+    for seq in range(1, 601):
+        first.setdefault((seq - 1) // 3 * 3 // 5, []).append(seq)
+    assert {r.generation: (r.first_seq, r.last_seq, r.rows) for r in got.collect()} == {g: (s[0], s[-1], len(s)) for g, s in first.items()}
+    per = max(1, folder // 5)
+    assert len(list(tmp_path.glob("log/*/*.json.gz"))) == len({g // per for g in first})
+    kept = spark.read.schema("_span bigint, generation bigint, seq bigint, op string, v string").json(f"file://{tmp_path}/log").collect()
+    assert sorted((r["_span"], r.generation, r.seq, r.op, r.v) for r in kept) == [(g // per, g, x, "C" if x % 3 == 0 else "I", None) for g, s in sorted(first.items()) for x in s]
+
+
 def test_target_shows_whole_transactions(spark, tmp_path):
     target = s.Target(spark, f"file://{tmp_path}/t", ROW, ["id"])
     frame = lambda rows: spark.createDataFrame(rows, c.schema(ROW))

@@ -1,6 +1,6 @@
 """Strict readers of text files: delimited values, NDJSON, SQL dumps, row chunks of a backup.
 
-Files are split over tasks one by one (or line by line for NDJSON and chunks), and lexed by generators, so memory stays at one
+Files are split over tasks one by one (line by line for NDJSON, dumps and chunks), and lexed by generators, so memory stays at one
 record.  Whatever is malformed is an error that names the file and the record.
 """
 
@@ -312,37 +312,61 @@ def read_ndjson(spark: SparkSession, path: str) -> DataFrame:
 # SQL dumps
 
 _SPACE = re.compile(r"(?:\s+|--[^\n]*(?:\n|$)|#[^\n]*(?:\n|$)|/\*.*?\*/)*", re.S)
-_STRING = re.compile(r"'((?:[^'\\]|\\.|'')*)'|\"((?:[^\"\\]|\\.|\"\")*)\"", re.S)
+_STRING = re.compile(r"'((?:[^'\\]+|\\.|'')*+)'|\"((?:[^\"\\]+|\\.|\"\")*+)\"", re.S)
 _ESCAPES = {"0": "\0", "n": "\n", "r": "\r", "t": "\t", "b": "\b", "Z": "\x1a"}
 _INSERT = re.compile(r"(?:INSERT|REPLACE)\s+(?:IGNORE\s+)?INTO\s+((?:[`\"]?[\w$]+[`\"]?\.)?[`\"]?[\w$]+[`\"]?)\s*(\([^)]*\))?\s*VALUES\s*", re.I)
+_SPECIAL = re.compile(r"['\"`;#]|/\*|--")
+#: What may be open at the end of a line, by how it begins: nothing, strings, a quoted name, a comment; with what closes it.
+_OPEN = {
+    "": (";", None), "'": ("'", re.compile(r"(?:[^'\\]+|\\.|'')*+'", re.S)), '"': ('"', re.compile(r"(?:[^\"\\]+|\\.|\"\")*+\"", re.S)),
+    "`": ("`", re.compile(r"[^`]*+`")), "/*": ("*/", re.compile(r".*?\*/", re.S)),
+}
+_UNCLOSED = {"`": "a quoted name is not closed", "/*": "a comment is not closed"}
+#: Names of files that Spark's text reader unpacks.
+_PACKED = r"\.(gz|bz2|deflate|snappy|lz4|zst)$"
+
+
+def _ends(text: str, opened: str) -> tuple[list[int], str]:
+    """Where statements end in whole lines of a dump, and what is open behind these, given what is open before them."""
+    ends, i = [], 0
+    while True:
+        if opened:
+            m = _OPEN[opened][1].match(text, i)
+            if not m:
+                return ends, opened
+            i, opened = m.end(), ""
+        m = _SPECIAL.search(text, i)
+        if not m:
+            return ends, ""
+        i = m.end()
+        if m[0] == ";":
+            ends.append(i)
+        elif m[0] in ("#", "--"):
+            if (i := text.find("\n", i)) < 0:
+                return ends, ""
+        else:
+            opened = m[0]
+
+
+def _pieces(lines: Iterable[str], opened: str) -> Iterator[tuple[str, bool]]:
+    """(text, ended): lines cut at the ends of statements; the last piece, perhaps empty, has not ended."""
+    parts = []
+    for text in lines:
+        begin = 0
+        if not opened or _OPEN[opened][0] in text:
+            ends, opened = _ends(text, opened)
+            for end in ends:
+                yield "".join([*parts, text[begin : end - 1]]), True
+                parts, begin = [], end
+        parts.append(text[begin:])
+    yield "".join(parts), False
 
 
 def statements(text: str) -> Iterator[str]:
     """The statements of a dump; semicolons inside strings, quoted names and comments do not end one."""
-    start = i = 0
-    while i < len(text):
-        c = text[i]
-        if c in "'\"":
-            m = _STRING.match(text, i)
-            if not m:
-                raise Refused("a string is not closed")
-            i = m.end()
-        elif c == "`":
-            i = text.index("`", i + 1) + 1
-        elif text.startswith("/*", i):
-            i = text.index("*/", i) + 2
-        elif text.startswith("--", i) or c == "#":
-            j = text.find("\n", i)
-            i = len(text) if j < 0 else j + 1
-        elif c == ";":
-            if s := text[start:i].strip():
-                yield s
-            i += 1
-            start = i
-        else:
-            i += 1
-    if s := text[start:].strip():
-        yield s
+    if opened := _ends(text, "")[1]:
+        raise Refused(_UNCLOSED.get(opened, "a string is not closed"))
+    yield from (s for piece, _ in _pieces([text], "") if (s := piece.strip()))
 
 
 def unescape(s: str, backslashes: bool = True) -> str:
@@ -350,19 +374,27 @@ def unescape(s: str, backslashes: bool = True) -> str:
     return re.sub(r"\\(.)", lambda m: _ESCAPES.get(m[1], m[1]), s, flags=re.S) if backslashes else s
 
 
+_NULL = re.compile(r"NULL\b", re.I)
+_HEX = re.compile(r"(?:0x([0-9A-Fa-f]*)|x'([0-9A-Fa-f]*)')", re.I)
+_BITS = re.compile(r"(?:b'([01]*)'|0b([01]+))")
+_CHARSET = re.compile(r"_(?:binary|utf8mb4|utf8mb3|utf8|latin1)\s*", re.I)
+_CONVERT, _USING = re.compile(r"CONVERT\s*\(\s*", re.I), re.compile(r"\s*(?:USING\s+\w+|,\s*\w+)\s*\)", re.I)
+_NUMBER = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|TRUE\b|FALSE\b", re.I)
+
+
 def _value(text: str, i: int, backslashes: bool) -> tuple[str | bytes | None, int]:
     i = _SPACE.match(text, i).end()
-    if m := re.compile(r"NULL\b", re.I).match(text, i):
+    if m := _NULL.match(text, i):
         return None, m.end()
-    if m := re.compile(r"(?:0x([0-9A-Fa-f]*)|x'([0-9A-Fa-f]*)')", re.I).match(text, i):
+    if m := _HEX.match(text, i):
         return bytes.fromhex((m[1] or m[2] or "").rjust(len(m[1] or m[2] or "") + len(m[1] or m[2] or "") % 2, "0")), m.end()
-    if m := re.compile(r"(?:b'([01]*)'|0b([01]+))").match(text, i):
+    if m := _BITS.match(text, i):
         return m[1] if m[1] is not None else m[2], m.end()
-    if m := re.compile(r"_(?:binary|utf8mb4|utf8mb3|utf8|latin1)\s*", re.I).match(text, i):
+    if m := _CHARSET.match(text, i):
         return _value(text, m.end(), backslashes)
-    if m := re.compile(r"CONVERT\s*\(\s*", re.I).match(text, i):
+    if m := _CONVERT.match(text, i):
         value, i = _value(text, m.end(), backslashes)
-        m = re.compile(r"\s*(?:USING\s+\w+|,\s*\w+)\s*\)", re.I).match(text, i)
+        m = _USING.match(text, i)
         if not m:
             raise Refused("CONVERT is not closed")
         return value, m.end()
@@ -371,7 +403,7 @@ def _value(text: str, i: int, backslashes: bool) -> tuple[str | bytes | None, in
         if not m:
             raise Refused("a string is not closed")
         return unescape(m[1] if m[1] is not None else m[2].replace('""', '"'), backslashes), m.end()
-    if m := re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|TRUE\b|FALSE\b", re.I).match(text, i):
+    if m := _NUMBER.match(text, i):
         low = m[0].lower()
         return {"true": "1", "false": "0"}.get(low, m[0]), m.end()
     raise Refused(f"cannot read a value from {text[i : i + 20]!r} on")
@@ -449,26 +481,129 @@ def create_table(statement: str) -> tuple[str, list[tuple[str, str, bool]], list
     return m[1].replace("`", "").replace('"', ""), [(n, t, nullable and n not in key) for n, t, nullable in columns], key
 
 
-def read_dump(spark: SparkSession, path: str, table: str, columns: list[str], backslashes: bool = True) -> DataFrame:
-    """The rows of a table in the INSERT statements of dump files, as text (bytes as hexadecimal); each file is lexed by one task."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    low = table.lower()
+def _dump_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, start, lines): the lines of files as bytes, by the blocks they are split into; a file that the text reader would unpack is one."""
+    where = F.col("_metadata.file_path")
+    text = spark.read.text(path, lineSep="\n").filter(~where.rlike(_PACKED))
+    whole = spark.read.format("binaryFile").load(path).filter(where.rlike(_PACKED))
+    text = text.select(where.alias("path"), F.col("_metadata.file_block_start").alias("start"), F.concat(F.col("value").cast("binary"), F.lit(b"\n")).alias("lines"))
+    return text.unionAll(whole.select(where.alias("path"), F.lit(0).cast("bigint").alias("start"), F.col("content").alias("lines")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for where, blob in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                try:
-                    text = check_text(blob.as_py()).decode()
-                except UnicodeDecodeError:
-                    raise Refused(f"{where}: not UTF-8") from None
-                for s in statements(text):
-                    found = insert_rows(s, backslashes)
-                    if not found or found[0].lower().rpartition(".")[2] != low:
-                        continue
-                    order = [c.lower() for c in (found[1] or columns)]
-                    if sorted(order) != sorted(c.lower() for c in columns) or any(len(r) != len(order) for r in found[2]):
-                        raise Refused(f"{where}: rows of {table} have other columns")
-                    place = [order.index(c.lower()) for c in columns]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[p].hex() if isinstance(r[p], bytes) else r[p] for r in found[2]], pa.string()) for p in place], names=columns)
 
-    return files.mapInArrow(run, ", ".join(f"`{c}` string" for c in columns))
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, Iterator[bytes]]]:
+    """(path, start, lines) of the blocks of a task, one behind the other."""
+    rows = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+    for (where, start), block in itertools.groupby(rows, key=lambda row: row[:2]):
+        yield where, start, (row[2] for row in block)
+
+
+def _sound_lines(where: str, start: int, lines: Iterator[bytes]) -> Iterator[str]:
+    """The lines of a block as text; foreign formats, NUL bytes and other encodings are refused."""
+    try:
+        if start == 0:
+            head = b""
+            while len(head) < HEAD and (line := next(lines, None)) is not None:
+                head += line
+            check_text(head)
+            lines = itertools.chain([head], lines)
+        for line in lines:
+            yield _sound(line).decode()
+    except UnicodeDecodeError:
+        raise Refused(f"{where}: not UTF-8") from None
+    except Refused as e:
+        raise Refused(f"{where}: {e}") from None
+
+
+def _followed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, start, opened, ended, left): for each of what may be open before a block, what is behind it, and whether a statement ends in it or is left unended."""
+    for where, start, lines in _blocks(batches):
+        runs = [[opened, False, False] for opened in (_OPEN if start else [""])]
+        for text in _sound_lines(where, start, lines):
+            filled = not text.isspace()
+            for run in runs:
+                ends: list[int] = []
+                if not run[0] or _OPEN[run[0]][0] in text:
+                    ends, run[0] = _ends(text, run[0])
+                if ends:
+                    run[1], run[2] = True, bool(text[ends[-1] :].strip())
+                else:
+                    run[2] |= filled
+        opened, ended, left = zip(*runs, strict=True)
+        yield pa.RecordBatch.from_pydict({"path": [where], "start": [start], "opened": [list(opened)], "ended": [list(ended)], "left": [list(left)]})
+
+
+def _chained(found: list) -> dict[tuple[str, int], tuple[str, int | None, int | None, bool]]:
+    """{(path, start): (what is open before a block, the block where the statement going into it began, the same of that going out of it, whether it ends the file)}."""
+    plan = {}
+    for where, group in itertools.groupby(sorted(found, key=lambda r: (r["path"], r["start"])), key=lambda r: r["path"]):
+        opened, owner, blocks = "", None, list(group)
+        for r in blocks:
+            k, last, before = list(_OPEN).index(opened), r is blocks[-1], (opened, owner)
+            opened = r["opened"][k]
+            if owner is None or r["ended"][k]:
+                owner = r["start"] if r["left"][k] else None
+            plan[where, r["start"]] = (*before, None if last else owner, last)
+        if opened:
+            raise Refused(f"{where}: {_UNCLOSED.get(opened, 'a string is not closed')}")
+    return plan
+
+
+def read_dump(spark: SparkSession, path: str, table: str, columns: list[str], backslashes: bool = True) -> DataFrame:
+    """The rows of a table in the INSERT statements of dump files, as text (bytes as hexadecimal).
+
+    A file is lexed in the blocks that Spark splits it into, by lines.  Whether a block begins inside a string depends on all
+    before it: a first pass follows each thing that may be open there to the block's end, and the driver chains the blocks, a row
+    each.  Statements that go over several blocks are joined from their parts, others are read where they stand; a task
+    holds one statement at a time.
+    """
+    lines, low = _dump_lines(spark, path), table.lower()
+    plan = _chained(lines.mapInArrow(_followed, "path string, start bigint, opened array<string>, ended array<boolean>, left array<boolean>").collect())
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, str, int | None]]:
+        """(path, start, text, owner): the pieces of blocks; those of a statement over several blocks have the block where it began as owner."""
+        for where, start, found in _blocks(batches):
+            opened, into, out, last = plan[where, start]
+            text = (line.decode().removeprefix("\ufeff") if start == 0 and k == 0 else line.decode() for k, line in enumerate(found))
+            for k, (piece, ended) in enumerate(_pieces(text, opened)):
+                yield where, start, piece, into if k == 0 and into is not None else None if ended or last else out
+
+    def rows(found: Iterable[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
+        kept: list[list] = []
+        size = 0
+        for where, s in found:
+            insert = insert_rows(s, backslashes)
+            if not insert or insert[0].lower().rpartition(".")[2] != low:
+                continue
+            order = [c.lower() for c in (insert[1] or columns)]
+            if sorted(order) != sorted(c.lower() for c in columns) or any(len(r) != len(order) for r in insert[2]):
+                raise Refused(f"{where}: rows of {table} have other columns")
+            place = [order.index(c.lower()) for c in columns]
+            kept += [[r[p].hex() if isinstance(r[p], bytes) else r[p] for p in place] for r in insert[2]]
+            size += len(s)
+            if len(kept) >= 4096 or size >= 1 << 22:
+                yield batch_of(kept)
+                kept, size = [], 0
+        if kept:
+            yield batch_of(kept)
+
+    def batch_of(kept: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*kept, strict=True)], names=columns)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows((where, piece) for where, _, piece, owner in pieces(batches) if owner is None)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for where, start, piece, owner in pieces(batches):
+            if owner is not None:
+                yield pa.RecordBatch.from_pydict({"path": [where], "owner": [owner], "start": [start], "text": [piece]})
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows((r["path"], r["text"]) for batch in batches for r in batch.to_pylist())
+
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    got = lines.mapInArrow(whole, schema)
+    if broken := sorted({where for (where, _), (_, into, _, _) in plan.items() if into is not None}):
+        found = lines.filter(F.col("path").isin(*broken)).mapInArrow(parts, "path string, owner bigint, start bigint, text string")
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda x: x["text"]), "")
+        got = got.unionAll(found.groupBy("path", "owner").agg(text.alias("text")).select("path", "text").mapInArrow(joined, schema))
+    return got

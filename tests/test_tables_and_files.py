@@ -1,3 +1,4 @@
+import gzip
 import json
 
 import pytest
@@ -176,6 +177,34 @@ def test_dump(spark, tmp_path):
             [files.insert_rows(s) for s in files.statements(bad)]
 
 
+@pytest.mark.parametrize("block", [40, 200, 1 << 20])
+def test_dump_in_blocks(spark, tmp_path, block):
+    """One file is read by several tasks, wherever strings, comments and statements are cut by its blocks."""
+    texts = [None, "a", "x;\ny", "it's\n", "-- no\n/* no", "\\", "é`", ");\nINSERT INTO t VALUES (7,'no');\n"]
+    rows = [(str(i), texts[i % len(texts)]) for i in range(200)]
+    put = lambda v: "NULL" if v is None else "'" + v.replace("\\", "\\\\").replace("'", "''") + "'"
+    dump = ""
+    for i in range(0, 200, 5):
+        dump += ["", "-- it's;\n", "/* ';\n\n` */\n", "INSERT INTO `o;'`\nVALUES (1,'\n');\n"][i % 4] + "INSERT INTO t VALUES\n" + ",\n".join(f"({k},{put(v)})" for k, v in rows[i : i + 5]) + ("; " if i % 2 else ";\n")
+    paths = {write(tmp_path, "a.sql", dump), write(tmp_path, "b.sql", dump.rstrip().removesuffix(";") + "\n-- end"), write(tmp_path, "c.sql.gz", dump)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        for path in paths:
+            got = files.read_dump(spark, path, "t", ["id", "v"])
+            assert sorted(map(tuple, got.collect()), key=str) == sorted(rows, key=str)
+            if block == 200 and not path.endswith(".gz"):
+                assert got.select(F.spark_partition_id()).distinct().count() > 1
+        for bad in ("INSERT INTO t VALUES (1,'x');\n" * 30 + "INSERT INTO t VALUES (1,'x);\n", "/* \n" * 30):
+            with pytest.raises(Refused):
+                files.read_dump(spark, write(tmp_path, "bad.sql", bad), "t", ["id", "v"])
+        for name, blob in (("zero.sql", b"\n" * 600 + b"\0"), ("latin.sql", b"\n" * 300 + b"\xe9"), ("packed.sql.gz", gzip.compress(dump.encode())), ("wide.sql", dump.encode("utf-16"))):
+            (tmp_path / name).write_bytes(blob)
+            with pytest.raises(Exception):
+                files.read_dump(spark, f"file://{tmp_path}/{name}", "t", ["id", "v"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_export_is_complete_and_not_repeated(spark, tmp_path, duck):
     path = f"file://{tmp_path}/x"
     df = spark.createDataFrame([("1", "n", "2.50"), ("2", "m", None)], "id string, note string, total string")
